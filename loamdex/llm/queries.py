@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamdex.llm import encoding, mixing, parsing, splitting, tokenizing
+from loamdex.llm import credentials, documenting, encoding, mixing, parsing, splitting, tokenizing
 from loamdex.tables import read_table
 
 
@@ -18,6 +18,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.found(p2_pieces(spark, d))
 
 
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return documenting.documented(read_table(spark, d, "symbols"), read_table(spark, d, "lines_fts"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return documenting.found(p3_pairs(spark, d))
+
+
 def p5_parsed(spark: SparkSession, d: str) -> DataFrame:
     return parsing.parsed(read_table(spark, d, "files"), read_table(spark, d, "lines_fts"))
 
@@ -30,6 +38,14 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return parsing.rates(p5_parsed(spark, d))
 
 
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted(read_table(spark, d, "lines_fts"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.found(p6_redacted(spark, d))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizing.encode(read_table(spark, d, "documents"))
 
