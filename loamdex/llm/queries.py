@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamdex.llm import credentials, documenting, encoding, mixing, parsing, splitting, tokenizing
+from loamdex.llm import credentials, documenting, encoding, mixing, origin, parsing, sharedspans, splitting, tokenizing
 from loamdex.tables import read_table
 
 
+def p1_judged(spark: SparkSession, d: str) -> DataFrame:
+    return origin.judged(read_table(spark, d, "lines_fts"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return origin.found(p1_judged(spark, d))
+
+
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_hits(read_table(spark, d, "semantic_hits"), read_table(spark, d, "files"), read_table(spark, d, "chunk_limits"))
 
@@ -26,6 +34,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return documenting.found(p3_pairs(spark, d))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return sharedspans.Shared(read_table(spark, d, "lines_fts")).pairs()
+
+
+def p4_shared(spark: SparkSession, d: str) -> DataFrame:
+    return sharedspans.Shared(read_table(spark, d, "lines_fts")).coverage()
+
+
 def p5_parsed(spark: SparkSession, d: str) -> DataFrame:
     return parsing.parsed(read_table(spark, d, "files"), read_table(spark, d, "lines_fts"))
 
