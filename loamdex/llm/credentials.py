@@ -10,7 +10,7 @@ named values. Scores of at least ``THRESHOLD`` (the probability the regression i
 calibrated to) are credentials and are masked.
 
 The labelled sample is bounded by ``TRAIN_ROWS`` lines with a trigger word, those
-with the least hash; the Markov chain counts the characters of all lines in a
+with the least hash among about ``TRAIN_LINES`` lines; the Markov chain counts the characters of all lines in a
 table of at most 97 x 97 entries.
 
 Defined results: equal rows count once; null contents hold nothing; a value that
@@ -36,6 +36,7 @@ from loamdex.llm.byfile import SourceFile, gathered, per_file
 
 THRESHOLD = 0.5
 TRAIN_ROWS = 20_000
+TRAIN_LINES = 400_000
 MASK = "REDACTED"
 
 _KNOWN_TEXT = (
@@ -412,9 +413,15 @@ def character_counts(lines: DataFrame) -> np.ndarray:
 
 
 def train(lines: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fits the model on at most ``rows`` lines with a trigger word."""
+    """Fits the model on at most ``rows`` lines with a trigger word.
+
+    A share of the lines known from the table's size is looked at, so what the
+    tasks send to the driver does not grow with the table.
+    """
+    share = min(1.0, TRAIN_LINES / max(1, lines.count()))
+    some = F.pmod(F.xxhash64("path", "line", "content"), F.lit(1_000_000_000)) < int(share * 1_000_000_000)
     sample = (
-        lines.where(F.col("content").rlike(TRIGGER_JAVA) & (F.length("content") <= 2000) & F.col("path").isNotNull())
+        lines.where(some).where(F.col("content").rlike(TRIGGER_JAVA) & (F.length("content") <= 2000) & F.col("path").isNotNull())
         .select("path", "content", F.xxhash64("path", "line", "content").alias("h"))
         .orderBy("h", "path")
         .limit(rows)
