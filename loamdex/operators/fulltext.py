@@ -64,20 +64,31 @@ def _near_counts(sizes: list[int], distance: int):
     """A function on batches: of each phrase, how many places are within the distance."""
 
     def one(places: list[list[int]]) -> list[int]:
+        """Moves one pointer a phrase along; a set of places counts if all begin close enough before the last."""
         n = len(places)
         if any(not len(x) for x in places):
             return [0] * n
         at, kept = [0] * n, [set() for _ in range(n)]
         while True:
-            now = [places[i][at[i]] for i in range(n)]
-            top = max(now)
-            if all(now[i] >= top - sizes[i] - distance for i in range(n)):
+            top, settled = places[0][at[0]], False
+            while not settled:
+                settled = True
                 for i in range(n):
-                    kept[i].add(now[i])
-            low = min(range(n), key=lambda i: (now[i], i))
-            at[low] += 1
-            if at[low] >= len(places[low]):
+                    low = top - sizes[i] - distance
+                    if not low <= places[i][at[i]] <= top:
+                        settled = False
+                        while places[i][at[i]] < low:
+                            at[i] += 1
+                            if at[i] == len(places[i]):
+                                return [len(k) for k in kept]
+                        top = max(top, places[i][at[i]])
+            for i in range(n):
+                kept[i].add(places[i][at[i]])
+            # The phrase whose next place comes first moves on.
+            ahead = [(places[i][at[i] + 1], i) for i in range(n) if at[i] + 1 < len(places[i])]
+            if not ahead:
                 return [len(k) for k in kept]
+            at[min(ahead)[1]] += 1
 
     def counts(*columns: pd.Series) -> pd.Series:
         return pd.Series([one([list(c) for c in row]) for row in zip(*columns)])

@@ -25,17 +25,22 @@ def debounced(events: DataFrame, gap: str = "3 seconds", late: str = "10 minutes
     Works on batches and streams; a stream holds a burst back until the watermark
     (``late`` behind the newest event) has passed it, and drops what comes later still.
     """
-    rows = events.withColumn("_ts", F.col(time).cast("timestamp"))
-    if events.isStreaming:
-        rows = rows.withWatermark("_ts", late)
+    rows = events
+    if "_ts" not in events.columns:  # else the watermark is already set
+        rows = events.withColumn("_ts", F.col(time).cast("timestamp"))
+        if events.isStreaming:
+            rows = rows.withWatermark("_ts", late)
     bursts = rows.groupBy("service_id", F.session_window("_ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"))
     return bursts.select("service_id", F.col("w.start").alias("first_ts"), F.col("w.end").alias("run_ts"), "events")
 
 
-def once(events: DataFrame, key: str = "change_id") -> DataFrame:
-    """Notifications received twice count once; the earliest received stays."""
+def once(events: DataFrame, key: str = "change_id", late: str = "10 minutes") -> DataFrame:
+    """Notifications received twice count once; the earliest received stays.
+
+    On a stream the first to arrive stays, and the result has the watermark column ``_ts``.
+    """
     if events.isStreaming:
-        return events.withColumn("_ts", F.col("event_ts").cast("timestamp")).withWatermark("_ts", "1 hour").dropDuplicatesWithinWatermark([key]).drop("_ts")
+        return events.withColumn("_ts", F.col("event_ts").cast("timestamp")).withWatermark("_ts", late).dropDuplicatesWithinWatermark([key])
     return events.groupBy(key).agg(*[F.min_by(c, "received_at").alias(c) for c in events.columns if c != key])
 
 
