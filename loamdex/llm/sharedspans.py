@@ -35,55 +35,62 @@ from loamdex.llm.byfile import packed
 from loamdex.tables import materialize
 
 SPAN = 400
-GRAM = 16
+GRAM = 128
 BUCKET = 256
 _CHARS = 400_000
 
-_RUNS = "path string, numbers array<int>, contents array<string>"
-_RUNS_ARROW = pa.schema([("path", pa.string()), ("numbers", pa.list_(pa.int32())), ("contents", pa.list_(pa.string()))])
+_RUNS = "path string, first int, lines int, content string"
+_RUNS_ARROW = pa.schema([("path", pa.string()), ("first", pa.int32()), ("lines", pa.int32()), ("content", pa.string())])
 
 
 def packed_lines(lines: DataFrame) -> DataFrame:
-    """Runs of lines of a file as one row each, so that a path travels once a run."""
+    """Runs of consecutive lines of a file as one row each: they travel as one string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            path = batch.column(0)
+            path, number = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            content = pc.fill_null(batch.column(2), "").to_pylist()
             cuts = np.zeros(1, np.int64)
             if n > 1:
-                cuts = np.concatenate([cuts, np.asarray(pc.indices_nonzero(pc.not_equal(path[1:], path[:-1]))).astype(np.int64) + 1])
-            offsets = pa.array(np.concatenate([cuts, [n]]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([path.take(pa.array(cuts)), pa.ListArray.from_arrays(offsets, batch.column(1)), pa.ListArray.from_arrays(offsets, pc.fill_null(batch.column(2), ""))], schema=_RUNS_ARROW)
+                new = np.asarray(pc.not_equal(path[1:], path[:-1])).astype(bool) | (number[1:] != number[:-1] + 1)
+                cuts = np.concatenate([cuts, np.flatnonzero(new) + 1])
+            ends = np.concatenate([cuts[1:], [n]])
+            texts = ["\n".join(content[a:b]) for a, b in zip(cuts.tolist(), ends.tolist())]
+            sizes = ends - cuts
+            if any(t.count("\n") != k - 1 for t, k in zip(texts, sizes.tolist())):  # ends of lines within lines
+                cuts, sizes, texts = np.arange(n), np.ones(n, np.int64), content
+            yield pa.RecordBatch.from_arrays([path.take(pa.array(cuts)), pa.array(number[cuts].astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(texts, pa.string())], schema=_RUNS_ARROW)
 
     rows = lines.where(F.col("path").isNotNull() & F.col("line").isNotNull()).select(F.col("path").cast("string"), F.col("line").cast("int").alias("line"), F.col("content").cast("string").alias("content"))
     return rows.mapInArrow(run, _RUNS)
 
 
-def _text(runs: list[tuple[list[int], list[str]]]) -> str:
+def _text(runs: list[tuple[int, int, str]]) -> str:
+    """The text of a file's runs: distinct lines in order."""
     if len(runs) == 1:
-        numbers, contents = runs[0]
-    else:
-        numbers, contents = sum((r[0] for r in runs), []), sum((r[1] for r in runs), [])
-    if any(a >= b for a, b in zip(numbers, numbers[1:])):
-        contents = [c for _, c in sorted(set(zip(numbers, contents)))]
-    return "\n".join(contents)
+        return runs[0][2]
+    runs = sorted(set(runs))
+    if all(a[0] + a[1] <= b[0] for a, b in zip(runs, runs[1:])):
+        return "\n".join(r[2] for r in runs)
+    lines = {(first + i, c) for first, n, text in runs for i, c in enumerate(text.split("\n") if n > 1 else [text])}
+    return "\n".join(c for _, c in sorted(lines))
 
 
 def texts(batches: Iterator[pa.RecordBatch], extra: int | None = None) -> Iterator[tuple]:
     """(path, text[, column ``extra`` of the last run]) of runs sorted by path."""
     path, held, last = None, [], None
     for batch in batches:
-        paths, numbers, contents = (batch.column(i).to_pylist() for i in range(3))
-        more = batch.column(extra).to_pylist() if extra is not None else paths
-        for p, n, c, x in zip(paths, numbers, contents, more):
+        columns = [batch.column(i).to_pylist() for i in range(4)]
+        more = batch.column(extra).to_pylist() if extra is not None else columns[0]
+        for p, first, n, c, x in zip(*columns, more):
             if p != path:
                 if held:
                     yield path, _text(held), last
                 path, held = p, []
-            held.append((n, c))
+            held.append((first, n, c))
             last = x
     if held:
         yield path, _text(held), last
@@ -154,7 +161,7 @@ def _pass_one(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Recor
             who = np.repeat(np.array([p[0] for p in parts]), counts)
             index = pa.array(who)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(paths).take(index), pa.array(digests, pa.binary()).take(index), pa.array(np.concatenate([p[3] for p in parts])), pa.array(np.concatenate([p[1] for p in parts])), pa.array(np.concatenate([p[2] for p in parts]))], schema=one
+                [pa.nulls(len(who), pa.string()), pa.array(digests, pa.binary()).take(index), pa.array(np.concatenate([p[3] for p in parts])), pa.array(np.concatenate([p[1] for p in parts])), pa.array(np.concatenate([p[2] for p in parts]))], schema=one
             )
 
     one = pa.schema([("path", pa.string()), ("digest", pa.binary()), ("length", pa.int32()), ("minimiser", pa.int64()), ("start", pa.int32())])
@@ -223,16 +230,18 @@ class Shared:
         self.files = one.where(F.col("minimiser").isNull()).select("path", "digest", F.col("length").alias("chars"))
         long = self.files.where(F.col("chars") >= span)
         self.copies = long.groupBy("digest").agg(F.min("path").alias("text"), F.count("*").alias("copies"))
-        windows = one.where(F.col("minimiser").isNotNull())
+        windows = one.where(F.col("minimiser").isNotNull()).drop("path")
         common = windows.groupBy("minimiser").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("minimiser")
+        # Copies gave the same rows; each string of a text is wanted once.
         flagged = (
-            windows.join(common, "minimiser").join(self.copies.select(F.col("text").alias("path"), "digest"), ["path", "digest"])
+            windows.join(common, "minimiser").select("digest", "minimiser", "start", "length").distinct()
+            .join(self.copies.select(F.col("text").alias("path"), "digest"), "digest")
             .groupBy("path").agg(F.collect_list(F.struct("minimiser", "start", "length")).alias("spans"))
         )
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[tuple]:
-                for path, text, spans in texts(batches, 3):
+                for path, text, spans in texts(batches, 4):
                     for s in spans:
                         string = text[s["start"] : s["start"] + s["length"]]
                         yield path, s["minimiser"], s["start"], xxhash.xxh3_128_digest(string.encode("utf-8", "surrogatepass")), string
