@@ -90,7 +90,8 @@ def texts(batches: Iterator[pa.RecordBatch], extra: int | None = None) -> Iterat
                 if held:
                     yield path, _text(held), last
                 path, held = p, []
-            held.append((first, n, c))
+            if n:
+                held.append((first, n, c))
             last = x
     if held:
         yield path, _text(held), last
@@ -242,13 +243,16 @@ class Shared:
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[tuple]:
                 for path, text, spans in texts(batches, 4):
-                    for s in spans:
+                    for s in spans or ():
                         string = text[s["start"] : s["start"] + s["length"]]
                         yield path, s["minimiser"], s["start"], xxhash.xxh3_128_digest(string.encode("utf-8", "surrogatepass")), string
 
             yield from packed(rows(), pa.schema([("text", pa.string()), ("minimiser", pa.int64()), ("start", pa.int32()), ("string", pa.binary()), ("content", pa.string())]))
 
-        strings = packed_lines(lines).join(flagged, "path").sortWithinPartitions(F.xxhash64("path"), "path")
+        # One shuffle by path brings the spans to their texts; a join might leave a file's runs in several tasks.
+        none = F.lit(None).cast(flagged.schema["spans"].dataType)
+        wanted = flagged.select("path", F.lit(None).cast("int").alias("first"), F.lit(0).alias("lines"), F.lit("").alias("content"), "spans")
+        strings = packed_lines(lines).withColumn("spans", none).unionByName(wanted).repartition("path").sortWithinPartitions(F.xxhash64("path"), "path", F.col("first").asc_nulls_last())
         self.strings = materialize(strings.mapInArrow(cut, "text string, minimiser bigint, start int, string binary, content string"), "p4-strings")
         different = self.strings.groupBy("minimiser", "string", "content").agg(F.min("text").alias("low"), F.max("text").alias("high"))
         self.different = materialize(different, "p4-different")
