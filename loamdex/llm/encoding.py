@@ -87,6 +87,8 @@ class _Reader:
         def of(a: int, b: int) -> str:
             return "[" + "".join(re.escape(c) for x in range(a, b + 1) for c in other[x]) + "]"
 
+        self.leads = frozenset(c for x in range(0xC2, 0xF5) for c in other[x])
+        self.tails = frozenset(c for x in range(0x80, 0xC0) for c in other[x])
         tail = of(0x80, 0xBF)
         form = f"{of(0xC2, 0xDF)}{tail}|{of(0xE0, 0xEF)}{tail}{{2}}|{of(0xF0, 0xF4)}{tail}{{3}}"
         self.span = re.compile(f"(?:{form})+")
@@ -162,7 +164,10 @@ def restore_multibyte(text: str) -> tuple[str, list[str], int]:
         if not _NONASCII.search(text):
             break
         best: tuple[int, _Reader, list] | None = None
+        have = set(_NONASCII.findall(text))
         for reader in _readers():
+            if have.isdisjoint(reader.leads) or have.isdisjoint(reader.tails):
+                continue
             spans = _layer(text, reader)
             gain = sum(b - a for a, b, _ in spans)
             if gain and (best is None or gain > best[0]):
@@ -264,7 +269,7 @@ class SingleByte:
 
     def restore(self, text: str) -> tuple[str, str, int] | None:
         """(text, 'wrong>right', characters changed), if another reading is far more usual."""
-        rare = {i: u for i in _positions(text) if (u := self.usual(text, i)) <= self.weak and text[i] != "�" and not _quoted(text, i, i + 1)}
+        rare = {i: u for i in _positions(text) if text[i] != "�" and (u := self.usual(text, i)) <= self.weak and not _quoted(text, i, i + 1)}
         if len(rare) < 2:
             return None
         best: tuple[float, str, list[int], str] | None = None
@@ -314,7 +319,7 @@ def examine(text: str | None, single: SingleByte | None) -> tuple[str, str, int,
         double = None
         if first and first[2] > changed:
             out, reading, changed = text, "", 0
-    other = single.restore(out) if single and not double else None
+    other = None if not single or double else first if out is text or out == text else single.restore(out)
     if other:
         out, name, n = other
         reading, changed = "+".join(filter(None, (reading, name))), changed + n
