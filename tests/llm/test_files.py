@@ -157,6 +157,8 @@ def test_origin_rules():
     assert v("s/a.js", "".join(f"function _a{i}(e,t){{return e.x(t)+{i}}}" for i in range(40))) == "minified"
     assert v("s/a.py", code + 'Q = "' + "select a from b where c > 1; " * 30 + '"\n') is None
     assert v("s/a.py", "T = [\n" + "".join("    " + ", ".join(str(i * j) for j in range(12)) + ",\n" for i in range(30)) + "]\n") == "data"
+    blob = "".join(f'    "{"aB3/xYz+" * 9}",\n' for _ in range(12))
+    assert v("s/a.js", f"export const t = [\n{blob}];\n") == "data" and v("s/a.js", f"const t = [\n{blob}];\n" + "function f(a) {\n  return a;\n}\n" * 6) is None
     assert v("s/a.py", "T = [\n    1, 2, 3, 4, 5, 6, 7, 8,\n    9, 10,\n]\n" + code) is None
     assert v("s/package-lock.json", '{\n "lockfileVersion": 3\n}') == "lock file" and v("s/tsconfig.json", "{}") is None and v("s/README.md", "# generated by hand") is None
     assert v("s/a.go", "package p\n" + "".join(f"func (x *T) GetA{i}() int {{\n\treturn x.A{i}\n}}\n" for i in range(6))) == "generated"
