@@ -49,8 +49,11 @@ def positions(p: Phrase, column: str = "tokens") -> Column:
             ok = ok & _same(F.get(toks, i + j), t, p.prefix and j == last)
         return ok
 
-    every = F.when(F.size(toks) >= k, F.sequence(F.lit(0), F.size(toks) - k)).otherwise(empty)
-    return F.filter(every, begins)
+    # Most lines lack one of the tokens; only the others are walked place by place.
+    holds = F.size(toks) >= k
+    for t in p.tokens[: last if p.prefix else k]:
+        holds = holds & F.array_contains(toks, t)
+    return F.when(holds, F.filter(F.sequence(F.lit(0), F.size(toks) - k), begins)).otherwise(empty)
 
 
 def count_of(p: Phrase, column: str = "tokens") -> Column:
