@@ -5,10 +5,14 @@
    count up) tell generated code, minified code and data.
 2. The telling lines of the other files go into an inverted index of line hashes.
    A line is rare if no more than ``RARE`` files have it, or up to half of all
-   files: a copied library may stand in a third of them. A rare line found in two services links each of its files to one partner
-   in another service, the first or the last by service and id, never all pairs.
-   The links of a file and a partner count their common lines exactly: a file that
-   has ``CONTAINED`` of its telling lines in one partner is a copy, edited or not.
+   files: a copied library may stand in a third of them. Only rare lines count.
+   A rare line found in two services links each of its files to one partner
+   in another service, the first or the last by service and id. Those links only
+   propose pairs; the common lines of a pair are counted by a join of both line
+   sets. Files that no proposal shows to be copies ask all holders of as many of
+   their rarest lines as a copy cannot do without one of, so none is missed.
+   A file that has ``CONTAINED`` of its rare lines in one partner is a copy,
+   edited or not; the containment given is the greatest of the pairs counted.
 3. Of copies, those are third-party code that have no notice of the workspace's
    own; their partners are, too, and so are files in vendor folders or with a
    notice of a package.
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.llm.byfile import packed
@@ -191,7 +195,7 @@ _ONE = "path string, service string, file bigint, kind string, own boolean, line
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("path", pa.string()), ("service", pa.string()), ("file", pa.int64()), ("kind", pa.string()), ("own", pa.bool_()), ("lines", pa.int32()), ("hash", pa.int64())])
     rows: list[tuple] = []
-    index: list[tuple[str, int, np.ndarray]] = []
+    index: list[tuple[str, int, np.ndarray, bool]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
         yield from packed(rows, schema)
@@ -200,7 +204,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pick = pa.array(np.repeat(np.arange(len(index)), n))
             total = sum(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(total, pa.string()), pa.array([x[0] for x in index]).take(pick), pa.array([x[1] for x in index]).take(pick), pa.nulls(total, pa.string()), pa.nulls(total, pa.bool_()), pa.nulls(total, pa.int32()), pa.array(np.concatenate([x[2] for x in index]))], schema=schema
+                [pa.nulls(total, pa.string()), pa.array([x[0] for x in index]).take(pick), pa.array([x[1] for x in index]).take(pick), pa.nulls(total, pa.string()), pa.array([x[3] for x in index], pa.bool_()).take(pick), pa.nulls(total, pa.int32()), pa.array(np.concatenate([x[2] for x in index]))], schema=schema
             )
         rows.clear()
         index.clear()
@@ -215,7 +219,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = telling(lines) if kind in (None, "vendored") and path.rsplit(".", 1)[-1].lower() in SOURCE else np.zeros(0, np.int64)
         rows.append((path, service, file, kind, own, len(hashes), None))
         if len(hashes):
-            index.append((service, file, hashes))
+            index.append((service, file, hashes, own))
         if len(rows) >= 512:
             yield from flush()
     yield from flush()
@@ -224,36 +228,51 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def judged(lines: DataFrame, rare: int = RARE) -> DataFrame:
     """(path, kind, containment, shared lines) of each file; kind is null for hand-written ones.
 
-    Links are as many as there are lines, whatever the number of files a line has,
-    so frequent lines cost no more than others; hot hashes are split by the
-    skew join, and counts are pre-aggregated.
+    Links are as many as there are lines, whatever the number of files a line has;
+    only files they leave open ask for more partners, by their rarest lines. Hot
+    hashes are split by the skew join, and counts are pre-aggregated.
     """
     runs = packed_lines(lines).repartition("path").sortWithinPartitions(F.xxhash64("path"), "path")
     one = materialize(runs.mapInArrow(_read, _ONE), "p1-index")
     files = one.where(F.col("hash").isNull()).select("path", "service", "file", "kind", "own", "lines")
-    index = one.where(F.col("hash").isNotNull()).select("hash", "file", "service")
-    place = F.struct("service", "file")
+    index = one.where(F.col("hash").isNotNull()).select("hash", "file", "service", "own")
     rare = max(rare, files.count() // 2)
-    groups = (
-        index.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high"))
-        .where((F.col("n") <= rare) & (F.col("low.service") != F.col("high.service")))
-        .select("hash", "low", "high")
-    )
+    place = F.when(~F.col("own"), F.struct("service", "file"))
+    frequent, crossing = F.col("n") > rare, F.col("low.service") != F.col("high.service")
+    groups = index.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high")).where(frequent | crossing)
     partner = F.when(F.col("service") != F.col("low.service"), F.col("low.file")).otherwise(F.col("high.file"))
-    links = index.join(groups, "hash").groupBy("file", partner.alias("partner")).agg(F.count("*").alias("shared")).where(F.col("shared") >= LEAST_SHARED)
-    sizes = files.select("file", "lines", "own")
-    both = (
-        links.join(sizes, "file")
-        .join(sizes.select(F.col("file").alias("partner"), F.col("lines").alias("partner_lines"), F.col("own").alias("partner_own")), "partner")
-        .where("not own and not partner_own")
-    )
-    there = both.select("file", (F.col("shared") / F.col("lines")).alias("containment"), "shared")
-    back = both.select(F.col("partner").alias("file"), (F.col("shared") / F.col("partner_lines")).alias("containment"), "shared")
-    best = there.unionByName(back).groupBy("file").agg(F.max("containment").alias("containment"), F.max("shared").alias("shared"))
+    held = materialize(index.where("not own").join(groups, "hash").select("hash", "file", "service", "n", partner.alias("partner")), "p1-held")
+    lines_of = held.where(~frequent)
+    telling_lines = files.where("not own").select("file", "lines").join(held.where(frequent).groupBy("file").agg(F.count("*").alias("frequent")), "file", "left")
+    sizes = telling_lines.select("file", (F.col("lines") - F.coalesce("frequent", F.lit(0))).alias("of"))
+
+    proposed = lines_of.groupBy("file", "partner").agg(F.count("*").alias("links")).where(F.col("links") >= LEAST_SHARED).select("file", "partner")
+    first = materialize(_contained(proposed, lines_of, sizes), "p1-proposed")
+    copies = first.where(F.col("containment") >= CONTAINED).select("file")
+
+    # A file with ``need`` of its lines in a partner has any (lines - need + 1) of them not all outside of it.
+    need = F.greatest(F.lit(LEAST_SHARED), F.ceil(F.col("of") * CONTAINED - 1e-9))
+    open_files = lines_of.join(copies, "file", "left_anti").groupBy("file").agg(F.count("*").alias("have")).join(sizes, "file").select("file", (F.col("have") - need + 1).alias("ask")).where(F.col("ask") > 0)
+    order = Window.partitionBy("file").orderBy("n", "hash")
+    asked = lines_of.join(open_files, "file").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("ask"))
+    holders = lines_of.select("hash", F.col("file").alias("partner"), F.col("service").alias("partner_service"))
+    others = asked.select("hash", "file", "service").join(holders, "hash").where(F.col("service") != F.col("partner_service")).select("file", "partner").distinct()
+    second = _contained(others, lines_of, sizes)
+
+    best = first.unionByName(second).groupBy("file").agg(F.max("containment").alias("containment"), F.max("shared").alias("shared"))
     copy = F.col("containment") >= CONTAINED
     return files.join(best, "file", "left").select("path", F.coalesce("kind", F.when(copy, F.lit("vendored"))).alias("kind"), F.coalesce("containment", F.lit(0.0)).alias("containment"), F.coalesce("shared", F.lit(0).cast("bigint")).alias("shared_lines"), "own", "lines")
 
 
+def _contained(pairs: DataFrame, lines_of: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(file, containment, shared) of both files of each pair, by a join of their lines."""
+    mine = lines_of.select("file", "hash")
+    theirs = lines_of.select(F.col("file").alias("partner"), "hash")
+    both = pairs.join(mine, "file").join(theirs, ["partner", "hash"]).groupBy("file", "partner").agg(F.count("*").alias("shared")).where(F.col("shared") >= LEAST_SHARED)
+    sides = both.select(F.explode(F.array("file", "partner")).alias("file"), "shared").groupBy("file").agg(F.max("shared").alias("shared"))
+    return sides.join(sizes, "file").select("file", (F.col("shared") / F.col("of")).alias("containment"), "shared")
+
+
 def found(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("kind").isNotNull()).select("path").distinct()
 

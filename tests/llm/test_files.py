@@ -175,3 +175,31 @@ def test_copies_across_services(spark):
     rows = {x["path"]: x["kind"] for x in O.judged(table(spark, files)).collect()}
     assert {p for p, k in rows.items() if k} == {"a/x/lib.py", "b/y/lib2.py"}
     assert O.found(O.judged(table(spark, files).limit(0))).count() == 0
+
+
+def test_copies_with_lines_held_elsewhere(spark):
+    r = random.Random(4)
+    line = lambda: f"    {r.choice('abcdef')}name{r.randrange(10**6)} = call{r.randrange(10**6)}(value{r.randrange(10**6)})"
+    own = lambda n: [line() for _ in range(n)]
+    lib = own(40)
+    files = {"10/lib.py": lib, "30/lib.py": lib, "00/own.py": lib[:8] + own(60), "39/own.py": lib[4:12] + own(60)}
+    # Every line of the copies stands in some earlier and some later file, five at a time.
+    spread = own(40)
+    files |= {"15/spread.py": spread, "25/spread.py": spread}
+    files |= {f"{s}/part{i}.py": spread[i : i + 5] + own(60) for i in range(0, 40, 5) for s in ("01", "38")}
+    # A file with a notice of the workspace's own stands before two copies.
+    noted = own(20)
+    files |= {"02/noted.py": ["# Copyright (c) 2024 the acme platform team", *noted], "12/noted.py": noted, "13/noted.py": noted}
+    rows = {x["path"]: (x["kind"], x["containment"]) for x in O.judged(table(spark, {p: "\n".join(x) for p, x in files.items()})).collect()}
+    want = {"10/lib.py", "30/lib.py", "15/spread.py", "25/spread.py", "12/noted.py", "13/noted.py"}
+    assert {p for p, (k, _) in rows.items() if k} == want and all(rows[p][1] == 1 for p in want)
+
+
+def test_frequent_lines_count_on_neither_side(spark):
+    r = random.Random(6)
+    line = lambda: f"    name{r.randrange(10**6)} = call{r.randrange(10**6)}(value{r.randrange(10**6)})"
+    stock, lib = [line() for _ in range(10)], [line() for _ in range(10)]
+    files = {f"{i:02}/own.py": "\n".join([*stock, *(line() for _ in range(10))]) for i in range(20)}
+    files |= {"50/a.py": "\n".join([*stock[:5], *lib]), "51/b.py": "\n".join([*stock[5:], *lib])}
+    rows = {x["path"]: x for x in O.judged(table(spark, files), 4).collect()}
+    assert {p for p, x in rows.items() if x["kind"]} == {"50/a.py", "51/b.py"} and rows["50/a.py"]["shared_lines"] == 10
