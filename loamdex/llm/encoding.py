@@ -8,9 +8,13 @@ are decoded. A span counts if its characters become ones that texts use; the
 code page of a text is the one that explains most.
 
 Single-byte damage (one legacy code page read as another) has no byte structure.
-It shows in neighbours: how many documents have a character beside its left and
-right neighbour is counted over the whole corpus, and a text is damaged where
-another reading of its rare characters makes them at least ``GAIN`` times as usual.
+It shows in neighbours: how many intact texts have a character beside its left and
+right neighbour is counted over the corpus, each different text once (copies only
+help another reading to its ``LEAST`` documents), and a text is damaged where another reading of its rare characters makes them at least
+``GAIN`` times as usual. What is damaged alike in many texts must not count as
+usual: the counts are first taken from texts whose letters fit an alphabet
+(``orderly``), then from all texts that those counts do not show to be damaged.
+Two characters must become better.
 The counts are keyed by two characters of legacy code pages, so the table has at
 most 2 x 700 x 700 rows at any size of the corpus.
 
@@ -27,9 +31,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,12 +250,52 @@ def neighbours(text: str) -> set[str]:
     return out
 
 
+#: Letters beyond ASCII of the languages of each script.
+_ALPHABETS = {
+    "latin": [frozenset(x) for x in (
+        "äöüßé", "àâæçéèêëîïôœùûüÿ", "áéíïñóúü", "àáâãçéêíóôõúü", "àèéìíîòóùú", "áéèëïíóöüê", "åäöéü", "æøåéóôèê", "áðéíóúýþæö", "ąćęłńóśźżé", "áäčďéěíĺľňóôŕřšťúůýž", "áéíóöőúüű", "ăâîșțşţ",
+        "çğıöşüiâîû\u0307", "čćđšž", "āčēģīķļņōŗšūž", "ąčęėįšųūž", "äöõüšž", "àçéèíïóòúü", "çëé", "àáâãèéêìíòóôõùúýăđĩũơư",
+    )],
+    "cyrillic": [frozenset("абвгдежзийклмнопрстуфхцчшщъыьэюяё"), frozenset("абвгґдеєжзиіїйклмнопрстуфхцчшщьюя"), frozenset("абвгдеёжзійклмнопрстуўфхцчшыьэюя"), frozenset("абвгдђежзијклљмнњопрстћуфхцчџшѓѕќ")],
+    "greek": [frozenset("αβγδεζηθικλμνξοπρστυφχψωςάέήίόύώϊϋΐΰ")],
+}
+#: Marks that stand between letters in intact texts.
+_JOINING = set("’‘'·–—…\u00ad\u200d\u200c\u2011\u00a0/→")
+
+
+def _script(c: str) -> str:
+    o = ord(c)
+    return "greek" if 0x370 <= o < 0x400 else "cyrillic" if 0x400 <= o < 0x530 else "latin" if o < 0x250 or 0x1E00 <= o < 0x1F00 else ""
+
+
+def orderly(text: str) -> bool:
+    """Whether letters fit an alphabet of their script, no word mixes scripts or has capitals after small letters, and no sign parts a word."""
+    letters: dict[str, set[str]] = {}
+    n = len(text)
+    for i in _positions(text):
+        c = text[i]
+        left, right = text[i - 1] if i else " ", text[i + 1] if i + 1 < n else " "
+        if c in "ªº" or not c.isalpha():
+            if c not in _JOINING and left.isalpha() and right.isalpha():
+                return False
+            if "\x80" <= c < "\xa0":
+                return False
+            continue
+        script = _script(c)
+        if left.isalpha() and (_script(left) != script or (c.isupper() and left.islower())):
+            return False
+        if right.isalpha() and _script(right) != script:
+            return False
+        letters.setdefault(script, set()).update(c.lower())
+    return all(any(have <= x for x in _ALPHABETS.get(script, ())) for script, have in letters.items())
+
+
 class SingleByte:
-    """Finds the other reading of a text, given in how many documents each pair of neighbours stands."""
+    """Finds the other reading of a text, given in how many intact texts, and documents with copies, each pair of neighbours stands."""
 
-    def __init__(self, counts: dict[str, int], documents: int):
+    def __init__(self, counts: dict[str, tuple[int, int]], texts: int):
         self.counts = counts
-        self.weak = max(2.0, WEAK * documents)
+        self.weak = max(2.0, WEAK * texts)
         self.readings: list[tuple[str, str, dict[int, str]]] = []
         pages = {n: _page(n) for n in SINGLE}
         for wrong in SINGLE:
@@ -261,15 +306,16 @@ class SingleByte:
                         table |= {b: pages[right][b] for b in range(0x80, 0xA0)}
                     self.readings.append((wrong, right, table))
 
-    def usual(self, text: str, i: int) -> int:
+    def usual(self, text: str, i: int) -> tuple[int, int]:
+        """(texts, documents) that have the character beside its neighbours."""
         c, get = text[i], self.counts.get
-        left = get("<" + (_side(text[i - 1]) if i else " ") + c, 0)
-        right = get(">" + c + (_side(text[i + 1]) if i + 1 < len(text) else " "), 0)
-        return min(left, right)
+        left = get("<" + (_side(text[i - 1]) if i else " ") + c, (0, 0))
+        right = get(">" + c + (_side(text[i + 1]) if i + 1 < len(text) else " "), (0, 0))
+        return min(left[0], right[0]), min(left[1], right[1])
 
     def restore(self, text: str) -> tuple[str, str, int] | None:
         """(text, 'wrong>right', characters changed), if another reading is far more usual."""
-        rare = {i: u for i in _positions(text) if text[i] != "�" and (u := self.usual(text, i)) <= self.weak and not _quoted(text, i, i + 1)}
+        rare = {i: u for i in _positions(text) if text[i] != "�" and (u := self.usual(text, i)[0]) <= self.weak and not _quoted(text, i, i + 1)}
         if len(rare) < 2:
             return None
         best: tuple[float, str, list[int], str] | None = None
@@ -279,8 +325,8 @@ class SingleByte:
             for i, u in rare.items():
                 if other[i] == text[i]:
                     continue
-                v = self.usual(other, i) if ord(other[i]) > 127 else 0
-                if v >= LEAST and v >= GAIN * u:
+                v, documents = self.usual(other, i) if ord(other[i]) > 127 else (0, 0)
+                if documents >= LEAST and v >= GAIN * u:
                     better.append(i)
                 elif v < u:
                     worse += 1
@@ -293,7 +339,7 @@ class SingleByte:
         rare_set, out = set(rare), list(text)
         changed = 0
         for i in rare_set:
-            if other[i] != text[i] and self.usual(other, i) >= rare[i]:
+            if other[i] != text[i] and self.usual(other, i)[0] >= rare[i]:
                 out[i] = other[i]
                 changed += 1
         return "".join(out), name, changed
@@ -328,29 +374,50 @@ def examine(text: str | None, single: SingleByte | None) -> tuple[str, str, int,
     return ("lost" if lost and not changed else "partly" if lost or _LOST.search(out) else "restored"), reading, changed, out
 
 
-def neighbour_counts(documents: DataFrame) -> DataFrame:
-    """(pair, documents): in how many texts each pair of neighbours stands, over all rows.
+def neighbour_counts(texts: DataFrame, counted: Callable[[], Callable[[str], bool]]) -> DataFrame:
+    """(pair, texts, documents): in how many of the ``counted`` texts, and of their documents, each pair of neighbours stands.
 
     Texts are counted before any repair; pre-aggregated in each task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        each: Counter = Counter()
+        copies: Counter = Counter()
+        test = counted()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text and not text.isascii():
-                    seen.update(neighbours(text))
-                    seen["#"] += 1
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["pair", "documents"])
+            for text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if test(text):
+                    keys = [*neighbours(text), "#"]
+                    each.update(keys)
+                    if n > 1:
+                        copies.update(dict.fromkeys(keys, n - 1))
+        if each:
+            yield pa.RecordBatch.from_arrays([pa.array(list(each)), pa.array(list(each.values()), pa.int64()), pa.array([n + copies[k] for k, n in each.items()], pa.int64())], names=["pair", "texts", "documents"])
+
+    return texts.mapInArrow(run, "pair string, texts bigint, documents bigint").groupBy("pair").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
+
+
+def intact_counts(documents: DataFrame) -> Broadcast:
+    """The counts of neighbours in texts without single-byte damage, and the number of those texts."""
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many as asked for: judging takes more than reading
+    texts = documents.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]")).repartition(parts, "text").groupBy("text").agg(F.count("*").alias("n"))
+
+    def send(counts: DataFrame) -> Broadcast:
+        got = {r[0]: (r[1], r[2]) for r in counts.where((F.col("documents") > 1) | (F.col("pair") == "#")).collect()}
+        return documents.sparkSession.sparkContext.broadcast((got, got.get("#", (0, 0))[0]))
+
+    first = send(neighbour_counts(texts, lambda: orderly))
+
+    def undamaged() -> Callable[[str], bool]:
+        single = SingleByte(*first.value)
+        return lambda text: orderly(text) or single.restore(text) is None
 
-    return documents.select(F.col("text").cast("string")).mapInArrow(run, "pair string, documents bigint").groupBy("pair").agg(F.sum("documents").alias("documents"))
+    return send(neighbour_counts(texts, undamaged))
 
 
 def damaged(documents: DataFrame) -> DataFrame:
     """The damaged rows of ``documents`` with what could be restored."""
-    counts = {r[0]: r[1] for r in neighbour_counts(documents).where((F.col("documents") > 1) | (F.col("pair") == "#")).collect()}
-    known = documents.sparkSession.sparkContext.broadcast((counts, counts.get("#", 0)))
+    known = intact_counts(documents)
     schema = pa.schema(_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,3 +34,16 @@ def test_table(spark):
     rows = {r["doc_id"]: r for r in E.damaged(df).collect()}
     assert set(rows) == {100, 101} and rows[100]["text"] == "Größe und Läufe für Prüfsumme häufig"
     assert E.found(E.damaged(df)).count() == 2 and E.damaged(df.limit(0)).count() == 0
+
+
+def test_whole_source_damaged_alike(spark):
+    nouns = ["Größe", "Läufe", "Prüfsumme", "Schlüssel", "Übersicht", "Änderung", "Lösung", "Maß"]
+    german = [f"{a} und {b} für {c} häufig {i}" for i, (a, b, c) in enumerate(zip(nouns * 15, nouns[1:] * 15, nouns[2:] * 15))]
+    russian = [f"Если очередь {w} закрыта, запись ждёт {i}" for i, w in enumerate(["записей", "чтения", "замен", "сборки"] * 30)]
+    page = lambda text, right, wrong: "".join(c if c < "\x80" else E._page(wrong)[c.encode(right)[0]] for c in text)
+    bad = {"cp1251": [page(x, "cp1251", "cp1252") for x in russian[:40]], "mac": [page(x, "mac_roman", "cp1252") for x in german[:40]]}
+    good = german[40:] + russian[40:]
+    texts = [*bad["cp1251"], *bad["mac"], *good, *[bad["mac"][0]] * 50]
+    rows = {r["doc_id"]: r["text"] for r in E.damaged(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert set(rows) == {*range(80), *range(80 + len(good), len(texts))}
+    assert [rows[i] for i in range(80)] == russian[:40] + german[:40]
