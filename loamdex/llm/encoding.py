@@ -14,7 +14,8 @@ help another reading to its ``LEAST`` documents), and a text is damaged where an
 ``GAIN`` times as usual. What is damaged alike in many texts must not count as
 usual: the counts are first taken from texts whose letters fit an alphabet
 (``orderly``), then from all texts that those counts do not show to be damaged.
-Two characters must become better.
+Two characters must become better, or one that no other intact text has beside its
+neighbours (marks that join words aside) and whose other reading ``STRONG`` different texts have.
 The counts are keyed by two characters of legacy code pages, so the table has at
 most 2 x 700 x 700 rows at any size of the corpus.
 
@@ -45,6 +46,7 @@ SINGLE = ("cp1252", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "cp437",
 _CYRILLIC = ("cp1251", "cp866", "koi8_r")
 GAIN = 8
 LEAST = 3
+STRONG = 10
 WEAK = 0.002
 LAYERS = 4
 
@@ -313,34 +315,40 @@ class SingleByte:
         right = get(">" + c + (_side(text[i + 1]) if i + 1 < len(text) else " "), (0, 0))
         return min(left[0], right[0]), min(left[1], right[1])
 
-    def restore(self, text: str) -> tuple[str, str, int] | None:
-        """(text, 'wrong>right', characters changed), if another reading is far more usual."""
+    def restore(self, text: str, alone: bool = True) -> tuple[str, str, int] | None:
+        """(text, 'wrong>right', characters changed), if another reading is far more usual; ``alone``: of one character, too."""
         rare = {i: u for i in _positions(text) if text[i] != "�" and (u := self.usual(text, i)[0]) <= self.weak and not _quoted(text, i, i + 1)}
-        if len(rare) < 2:
+        if not rare:
             return None
-        best: tuple[float, str, list[int], str] | None = None
+        have = {ord(text[i]) for i in rare}
+        best: tuple[float, str, dict[int, str]] | None = None
         for wrong, right, table in self.readings:
-            other = text.translate(table)
-            better, worse = [], 0
+            if have.isdisjoint(table):
+                continue
+            better, sure, worse = 0, 0, 0
             for i, u in rare.items():
-                if other[i] == text[i]:
+                near = text[max(0, i - 1) : i + 2].translate(table)
+                at = min(i, 1)
+                if near[at] == text[i]:
                     continue
-                v, documents = self.usual(other, i) if ord(other[i]) > 127 else (0, 0)
+                v, documents = self.usual(near, at) if ord(near[at]) > 127 else (0, 0)
                 if documents >= LEAST and v >= GAIN * u:
-                    better.append(i)
+                    better += 1
+                    sure += alone and u <= 1 and v >= STRONG and text[i] not in _JOINING and near[at].isalpha() and not (near[at].islower() and near[at + 1 :].isupper())
                 elif v < u:
                     worse += 1
-            score = len(better) - worse
-            if len(better) >= 2 and score > 0 and (best is None or score > best[0]):
-                best = (score, f"{wrong}>{right}", better, other)
+            score = better - worse
+            if (better >= 2 or sure) and score > 0 and (best is None or score > best[0]):
+                best = (score, f"{wrong}>{right}", table)
         if best is None:
             return None
-        _, name, _, other = best
-        rare_set, out = set(rare), list(text)
+        _, name, table = best
+        out = list(text)
         changed = 0
-        for i in rare_set:
-            if other[i] != text[i] and self.usual(other, i)[0] >= rare[i]:
-                out[i] = other[i]
+        for i in rare:
+            near, at = text[max(0, i - 1) : i + 2].translate(table), min(i, 1)
+            if near[at] != text[i] and self.usual(near, at)[0] >= rare[i]:
+                out[i] = near[at]
                 changed += 1
         return "".join(out), name, changed
 
@@ -410,7 +418,7 @@ def intact_counts(documents: DataFrame) -> Broadcast:
 
     def undamaged() -> Callable[[str], bool]:
         single = SingleByte(*first.value)
-        return lambda text: orderly(text) or single.restore(text) is None
+        return lambda text: orderly(text) or single.restore(text, alone=False) is None
 
     return send(neighbour_counts(texts, undamaged))
 

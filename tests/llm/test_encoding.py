@@ -47,3 +47,12 @@ def test_whole_source_damaged_alike(spark):
     rows = {r["doc_id"]: r["text"] for r in E.damaged(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     assert set(rows) == {*range(80), *range(80 + len(good), len(texts))}
     assert [rows[i] for i in range(80)] == russian[:40] + german[:40]
+
+
+def test_one_damaged_character(spark):
+    clean = [f"Eine Lösung im Café {i}" for i in range(20)] + [f"Škoda a loď {i}" for i in range(3)]
+    bad = ["Keine Lšsung", "Im Caf‚ hier", "Ein Caf\x8e"]
+    # A rare character without a strong other reading, or one that joins words, is left alone.
+    texts = [*clean, *bad, "Der Bøk", "Lšhmung", "wait—what"]
+    rows = {r["doc_id"]: r["text"] for r in E.damaged(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert rows == {23: "Keine Lösung", 24: "Im Café hier", 25: "Ein Café"}
