@@ -69,11 +69,17 @@ _NOUGHT = re.compile(r"[A-Za-z_]0(?:_;|[ \t]*[({<?:=])")
 _CODED = re.compile(r"\s*[\"'`][A-Za-z0-9+/=_-]{36,}[\"'`]\s*[,;+.\\]?\s*")
 
 
+_DIRECTIVE = re.compile(r"^\s*(?:#!|<\?(?:php|xml)\b|<!doctype\b|@charset\b|['\"]use strict['\"];?\s*$)", re.I)
+
+
 def leading(lines: list[str], most: int = 14) -> str:
-    """The comments among the first lines of a file."""
+    """The comments above the first line of code, however many, and those among the first ``most`` lines of a file."""
     out = []
     block = ""
-    for line in lines[:most]:
+    code = False
+    for k, line in enumerate(lines):
+        if k >= most and code:
+            break
         s = line.strip()
         if block:
             out.append(s)
@@ -87,6 +93,8 @@ def leading(lines: list[str], most: int = 14) -> str:
                 block = "-->"
             elif s[:3] in ('"""', "'''") and s.count(s[:3]) < 2:
                 block = s[:3]
+        elif s and not _DIRECTIVE.match(line):
+            code = True
     return "\n".join(out)
 
 
@@ -150,7 +158,7 @@ def verdict(path: str, text: str, lines: list[str]) -> tuple[str | None, bool, b
     """(kind known from the file alone, notice of a package, notice of the workspace's own)."""
     name = path.rsplit("/", 1)[-1]
     ending = name.rsplit(".", 1)[-1].lower()
-    if LOCKS.search(path) or (ending in ("json", "yaml", "yml", "lock", "toml") and LOCK_TEXT.search(text[:4000])):
+    if LOCKS.search(path) or (ending in ("json", "yaml", "yml", "lock", "toml") and LOCK_TEXT.search(text)):
         return "lock file", False, False
     head = leading(lines)
     if ending not in SOURCE:

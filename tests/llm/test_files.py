@@ -203,3 +203,16 @@ def test_frequent_lines_count_on_neither_side(spark):
     files |= {"50/a.py": "\n".join([*stock[:5], *lib]), "51/b.py": "\n".join([*stock[5:], *lib])}
     rows = {x["path"]: x for x in O.judged(table(spark, files), 4).collect()}
     assert {p for p, x in rows.items() if x["kind"]} == {"50/a.py", "51/b.py"} and rows["50/a.py"]["shared_lines"] == 10
+
+
+def test_notices_below_a_licence_head():
+    v = lambda p, t: O.verdict(p, t, t.split("\n"))[0]
+    head = ["Licensed under the Apache License, Version 2.0", *(f"you may not use this file except as said in part {i}" for i in range(17))]
+    slashes, block, code = "".join(f"// {x}\n" for x in head), "/*\n" + "".join(f" * {x}\n" for x in head) + " */\n", "package p\n\nfunc F() int {\n\treturn 1\n}\n"
+    for top in (slashes, block, "//go:build linux\n\n" + slashes):
+        assert v("s/deep.go", top + "\n// Code generated by deepcopy-gen. DO NOT EDIT.\n\n" + code) == "generated"
+        assert v("s/a.go", top + "\n// Vendored from example@1.2\n\n" + code) == "vendored"
+        assert v("s/a.go", top + code) is None and v("s/a.go", top + code + "\n// Code generated by x. DO NOT EDIT.\n") is None
+    assert v("s/a.php", "<?php\n" + block + "// @generated by x\n$a = 1;\n") == "generated"
+    filler = ",\n".join(f'  "name{i}": "value{i}"' for i in range(400))
+    assert v("s/tree.json", "{\n" + filler + ',\n  "lockfileVersion": 3\n}') == "lock file" and v("s/tree.json", "{\n" + filler + "\n}") is None
