@@ -8,9 +8,10 @@ piece is tried. Defined results:
 * a text within the limit is one piece; a null or empty text has no piece;
 * every piece has at most ``limit`` characters (code points) and the pieces,
   without their overlaps, join to the text again;
-* a piece starts with the last ``overlap_lines`` lines of the piece before, with
-  fewer where those have more than half of the limit, with none inside a line
-  that is itself over half of the limit;
+* a piece starts with the last ``overlap_lines`` lines of the piece before wherever
+  those and one new line are within the limit; a piece that gets too long by them is
+  cut again. Elsewhere it starts with as many of them as half of the limit holds,
+  with none inside a line that is itself over half of the limit;
 * ``start_line`` of the first piece is the row's; a line inside which a cut falls
   belongs to both pieces. Previews with more lines than their span end at
   ``end_line``; a null ``start_line`` counts as 1;
@@ -106,6 +107,27 @@ def _overlap_from(starts: list[int], cut: int, lines: int, most: int) -> int:
     return first
 
 
+def _with_overlaps(text: str, limit: int, lines: int, ends: list[int], at: list[int], strength: list[float]) -> list[tuple[int, int, int]]:
+    """The pieces up to ``ends`` with their overlaps; pieces too long with all given lines are cut again."""
+    starts = [0, *at]
+    pieces, begin = [], 0
+    for end in ends:
+        while begin < end:
+            k = bisect_right(at, begin)
+            new = at[k] if k < len(at) else len(text)
+            first, low = _overlap_from(starts, begin, lines, limit) if begin else 0, new
+            if new - first > limit or (first == begin and lines) or _overlap_from(starts, begin, lines, len(text)) != first:
+                first, low = _overlap_from(starts, begin, lines, limit // 2) if begin else 0, begin + 1
+            to = end
+            if end - first > limit:
+                high = first + limit
+                target = begin + (end - begin) / -(-(end - begin) // (high - begin))
+                to = _snap(text, target, low, high, at, strength, max(1.0, NEAR * (high - begin), target - low))
+            pieces.append((first, begin, to))
+            begin = to
+    return pieces
+
+
 def split_text(text: str, limit: int, overlap_lines: int = 0) -> list[tuple[int, int, int]]:
     """(start with overlap, start without, end) of each piece."""
     n = len(text)
@@ -125,18 +147,17 @@ def split_text(text: str, limit: int, overlap_lines: int = 0) -> list[tuple[int,
             cut = _snap(text, j * step, low + 1, n - (count - j), at, strength, max(1.0, NEAR * step))
             cuts.append(cut)
             low = cut
-        pieces, begin = [], 0
+        begin = 0
         for end in [*cuts, n]:
             first = _overlap_from(starts, begin, overlap_lines, limit // 2) if begin else 0
             if end - first > limit:
                 ok = False
                 break
-            pieces.append((first, begin, end))
             begin = end
         if ok:
-            return pieces
+            return _with_overlaps(text, limit, overlap_lines, [*cuts, n], at, strength)
         if count >= n:  # one character a piece: only overlaps can be in the way
-            return [(i, i, min(i + limit, n)) for i in range(0, n, limit)]
+            return _with_overlaps(text, limit, overlap_lines, [*range(limit, n, limit), n], at, strength)
         count = min(n, count + max(1, count // 16))
 
 

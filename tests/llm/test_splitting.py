@@ -45,3 +45,21 @@ def test_table(spark):
     assert S.split_hits(hits.limit(0), files, limits).count() == 0 and S.found(S.split_hits(hits, files, limits.limit(0))).count() == 0
     with pytest.raises(Exception):
         S.split_hits(hits.drop("preview"), files, limits)
+
+
+@pytest.mark.parametrize("limit, lines, width", [(1500, 5, 160), (1000, 2, 260)])
+def test_all_given_lines_are_repeated(limit, lines, width):
+    text = "\n".join(f"{i:04} ".ljust(width - 1, "x") for i in range(60))
+    pieces = S.split_text(text, limit, lines)
+    assert "".join(text[b:c] for _, b, c in pieces) == text and all(c - a <= limit for a, _, c in pieces)
+    assert all(text[a:b].count("\n") == lines and text[b - 1] == "\n" for a, b, _ in pieces[1:])
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXT, st.integers(1, 90), st.integers(1, 5))
+def test_fewer_lines_only_where_they_do_not_fit(text, limit, overlap):
+    for a, b, _ in S.split_text(text, limit, overlap)[1:]:
+        begun = [0, *(i + 1 for i, c in enumerate(text) if c == "\n" and i + 1 < b)]
+        new = text.find("\n", b) + 1 or len(text)
+        full = begun[-overlap:][0]
+        assert a == full or new - full > limit
