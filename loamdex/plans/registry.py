@@ -168,11 +168,21 @@ def span_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @_named("symbol_bodies", f"SELECT s.path, s.name, s.start_line, string_agg(l.content, chr(10) ORDER BY l.line) AS body FROM ({_SYMBOLS}) s JOIN (SELECT DISTINCT path, line, coalesce(content, '') AS content FROM lines_fts) l ON l.path = s.path AND l.line BETWEEN s.start_line AND s.end_line WHERE s.kind = 'struct' GROUP BY s.path, s.name, s.kind, s.start_line, s.end_line")
 def symbol_bodies(spark: SparkSession, d: str) -> DataFrame:
-    """The lines of each struct: a span read for a relation of spans."""
-    s, lines = _symbols(spark, d).where("kind = 'struct'"), corpus(spark, d)
-    rows = s.join(lines, "path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n")
-    return rows.groupBy("path", "name", "kind", "start_line", "end_line").agg(body.alias("body")).select("path", "name", "start_line", "body")
+    """The lines of each struct, as its SQL has them."""
+    return _bodies(_symbols(spark, d).where("kind = 'struct'"), read_table(spark, d, "lines_fts")).drop("kind", "end_line")
+
+
+@_named("symbol_bodies_all")
+def symbol_bodies_all(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of each symbol of any kind: a span read for a relation of spans."""
+    return _bodies(_symbols(spark, d), read_table(spark, d, "lines_fts"))
+
+
+def _bodies(s: DataFrame, lines: DataFrame) -> DataFrame:
+    """Repeated lines are dropped body by body: lines move once, to their path."""
+    rows = s.join(lines.select("path", "line", F.coalesce("content", F.lit("")).alias("content")), "path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("line", "content"))), lambda x: x["content"]), "\n")
+    return rows.groupBy("path", "name", "kind", "start_line", "end_line").agg(body.alias("body"))
 
 
 # ---- windows and vectors

@@ -148,3 +148,17 @@ def test_hybrid(spark):
     rows = hybrid.search(lines, syms, "charge", points=pts, query_vector=[1.0, 0.0])
     assert [(r["section"], r["path"]) for r in rows.orderBy("section", "ord").collect()] == [("Semantic", "a.py"), ("Symbols", "a.py"), ("Text", "a.py")]
     assert hybrid.fused(rows).first()["sections"] == "Semantic+Symbols+Text" and hybrid.search(lines, syms, "none").collect() == []
+
+
+def test_symbol_bodies_of_all_kinds(spark, tmp_path):
+    files = {"s/a.py": ["class A:", "    def f(self):", "        return 1", "", "def g():", "    pass"], "s/b.go": ["type T struct {", "\tX int", "}"]}
+    symbols = [("s/a.py", "A", "class", 1, 3), ("s/a.py", "f", "method", 2, 3), ("s/a.py", "g", "function", 5, 9), ("s/b.go", "T", "struct", 1, 3), ("s/b.go", "T", "type", 1, 3), ("s/gone.py", "h", "function", 1, 2), ("s/a.py", "f", "method", 2, 3)]
+    lines = [(p, i, c or None) for p, x in files.items() for i, c in enumerate(x, 1)]
+    spark.createDataFrame([("s", *x) for x in symbols], "service_id string, path string, name string, kind string, start_line int, end_line int").write.parquet(str(tmp_path / "symbols.parquet"))
+    spark.createDataFrame([("s", *x) for x in [*lines[::-1], *lines[:2]]], "service_id string, path string, line int, content string").write.parquet(str(tmp_path / "lines_fts.parquet"))
+    from loamdex.plans import registry
+
+    want = {(p, n, k, a, b, "\n".join(files[p][a - 1 : b])) for p, n, k, a, b in symbols if p in files}
+    rows = [tuple(r) for r in registry.queries()["symbol_bodies_all"](spark, str(tmp_path)).collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert [tuple(r) for r in registry.queries()["symbol_bodies"](spark, str(tmp_path)).collect()] == [("s/b.go", "T", 1, "type T struct {\n\tX int\n}")]
