@@ -6,8 +6,8 @@ lines of private keys. A logistic regression scores each from how likely its
 characters are under a Markov chain of the corpus, the words of the identifier
 beside it, its form, and its path. It is trained on weak labels: known patterns
 and strongly named random values against placeholders, references and plainly
-named values. Scores of at least ``THRESHOLD`` (the probability the regression is
-calibrated to) are credentials and are masked.
+named values. Scores of at least ``THRESHOLD`` are credentials and are masked; the labels
+weigh half each, so scores are not calibrated to observed rates.
 
 The labelled sample is bounded by ``TRAIN_ROWS`` lines with a trigger word, those
 with the least hash among about ``TRAIN_LINES`` lines; the Markov chain counts the characters of all lines in a
