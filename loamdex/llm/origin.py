@@ -1,25 +1,28 @@
-"""Files that nobody wrote by hand: generated, minified, vendored, bulk data.
-
-1. Every file is read once. Notices in its leading comments and the composition
-   of its tokens (blanks and lengths of lines, shares of numbers, names that
-   count up) tell generated code, minified code and data.
-2. The telling lines of the other files go into an inverted index of line hashes.
-   A line is rare if no more than ``RARE`` files have it, or up to half of all
-   files: a copied library may stand in a third of them. Only rare lines count.
-   A rare line found in two services links each of its files to one partner
-   in another service, the first or the last by service and id. Those links only
-   propose pairs; the common lines of a pair are counted by a join of both line
-   sets. Files that no proposal shows to be copies ask all holders of as many of
-   their rarest lines as a copy cannot do without one of, so none is missed.
-   A file that has ``CONTAINED`` of its rare lines in one partner is a copy,
-   edited or not; the containment given is the greatest of the pairs counted.
-3. Of copies, those are third-party code that have no notice of the workspace's
-   own; their partners are, too, and so are files in vendor folders or with a
-   notice of a package.
-
-Defined results: paths without lines have no row; lock files of package tools are
-output, other configuration and prose are written by hand; ties of partners
-go to the least id; equal rows count once.
+"""Files that nobody wrote by hand: vendored, generated, minified, bulk data.
+
+1. Every source file gives the hashes of its telling lines. Files with the same
+   lines are one content from here on; a content in two services is a copy.
+2. An inverted index of the line hashes of all contents. Lines of one content
+   only link nothing and are dropped; a line is rare if no more than ``RARE`` contents
+   have it. A content with ``CONTAINED`` of its rare lines in one other content of
+   another service is a copy, edited or not. A content with fewer than that of its
+   rare lines in the index asks no further; the others are counted, exactly, against
+   the contents that stand for their lines (four a line: the one with the most
+   copies, the first and last by service, the least by hash), then, if those show no
+   copy, against every holder of the rarest lines a copy cannot do without one of.
+   Lines that are not rare count only where two contents have ``CONTAINED`` of all
+   their lines in common, each of its own; such partners come from the four that
+   stand for a line, so a library that a third of all files have edited is found
+   without pairing them all.
+3. The files that are no copies are told by the composition of their tokens (blanks
+   and lengths of lines, shares of numbers, names that count up), and last by
+   notices in their leading comments, names and folders.
+
+Defined results: ``evidence`` says what decided (containment, tokens, notice);
+``containment`` is null where nothing was counted. Paths without lines have no
+row; files with fewer than ``LEAST_SHARED`` telling lines are no copies; lock files
+of package tools are output, other configuration and prose are written by hand;
+equal rows count once.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.llm.byfile import packed
@@ -38,7 +41,7 @@ from loamdex.llm.sharedspans import packed_lines, texts
 from loamdex.tables import materialize
 
 RARE = 1000
-CONTAINED = 0.85
+CONTAINED = 0.9
 LEAST_SHARED = 6
 
 SOURCE = {"py", "pyi", "java", "kt", "ts", "tsx", "js", "jsx", "mjs", "cjs", "go", "rs", "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "lua", "css", "scss", "sql", "swift", "scala", "m", "vue"}
@@ -51,16 +54,16 @@ VENDOR_PLACE = re.compile(r"(?i)(?:^|/)(?:vendor|third[_-]party|3rd-?party|node_
 #: Notices of tools, as they stand in leading comments (fixed patterns).
 GENERATED = re.compile(
     r"(?im)^\W*(?:code generated by\b.*|.*\bdo not edit(?: (?:this file|manually|by hand|directly))?\s*(?:[.!*)>-].*)?$|@generated\b.*|<auto-?generated.*|auto-?generated\b(?! (?:\w+ ){0,2}(?:pages?|reports?|files? for)).*"
-    r"|(?:this (?:file|code|class|module|source) (?:was|is|has been) )?(?:automatically|machine|auto)[- ](?:generated|made|created|written|produced)\b.*|generated (?:from|by|with|using|at|on|automatically)\b.*|this (?:file|code|class|module) (?:was|is|has been) generated\b.*"
-    r"|.*\b(?:edits|changes|modifications)\b.*\b(?:(?:are|will be|get) )(?:overwritten|lost|discarded)\b.*|output of (?:the )?\S+ (?:compiler|generator|tool|code generator)\b.*|.*\bplease do not (?:modify|edit|change)\b.*|re-?run \S+ to change.*"
+    r"|(?:this (?:file|code|class|module|source) (?:was|is|has been) )?(?:automatically|machine|auto)[- ]generated\b.*|generated (?:from|by|with|using|at|on|automatically)\b.*|this (?:file|code|class|module) (?:was|is|has been) generated\b.*"
+    r"|.*\b(?:edits|changes|modifications)\b.*\b(?:(?:are|will be|get) )(?:overwritten|lost|discarded)\b.*|output of (?:the )?\S+ (?:compiler|generator)\b.*"
     r"|.*\b(?:erzeugt|generiert) und wird\b.*|.*\bautomatisch (?:erzeugt|generiert)\b.*|.*\bg[ée]n[ée]r[ée] (?:par|automatiquement)\b.*|.*\bgenerado (?:por|autom[áa]ticamente)\b.*)\W*$"
 )
-VENDORED = re.compile(
-    r"(?im)^\W*(?:@license\b\s+\S+.*|@preserve\b.*|copied from \S+ v?\d.*|(?:vendored|imported|taken|forked|extracted) (?:from|at) \S*\d.*|upstream:\s*\S+.*|.*\blocal (?:edits|changes|patches) belong upstream\b.*|\S+ v?\d+(?:\.\d+)+\s*\|\s*\(c\).*|.*\(c\) \d{4}.* the \S+ authors\b.*|version v?\d+(?:\.\d+)+,? (?:released|distributed|licensed) under\b.*|copyright (?:\(c\) )?\d{4}(?:-\d{4})?,? (?:the )?\S+ (?:project )?(?:contributors|authors)\b.*)$"
-)
+VENDORED = re.compile(r"(?im)^\W*(?:@license\b\s+\S+.*|@preserve\b.*|(?:copied|vendored|imported|taken|forked|extracted) (?:from|at) \S.*\d.*|upstream:\s*\S+.*|\S+ v?\d+(?:\.\d+)+\s*\|\s*\(c\).*|version v?\d+(?:\.\d+)+,? (?:released|distributed|licensed) under\b.*)$")
 _COMMENT = re.compile(r"^\s*(?:#(?!include|define|if|pragma|!\[|\[)|//|/\*|\*|--|<!--|;|\"\"\"|''')")
 _TOKEN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|-?(?:0[xX][0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][+-]?\d+)?)|[A-Za-z_$][\w$]*|[^\s\w]")
 _DATA = re.compile(r"(?:-?0[xX][0-9a-fA-F]+[uUlL]*|-?\d[\d_.]*(?:[eE][+-]?\d+)?[uUlLfF]?|[\[\]{}(),;\s])+")
+#: So many names that count up from nought are a generator's; people write a few.
+COUNTED = 5
 #: Names that are defined: functions and methods, types, fields; numbered names end in the group.
 _DEFINED = re.compile(r"(?m)^[ \t]*(?:(?:export|public|private|protected|static|final|async|abstract)[ \t]+)*(?:def|func(?:tion)?(?:[ \t]*\([^)\n]*\))?|class|interface|type|struct|enum|message|fn)[ \t]+([A-Za-z_]\w*)|^[ \t]*private[ \t]+[\w<>\[\].]+[ \t]+(\w+)_;")
 _NOUGHT = re.compile(r"[A-Za-z_]0(?:_;|[ \t]*[({<?:=])")
@@ -69,17 +72,14 @@ _NOUGHT = re.compile(r"[A-Za-z_]0(?:_;|[ \t]*[({<?:=])")
 _CODED = re.compile(r"\s*[\"'`][A-Za-z0-9+/=_-]{36,}[\"'`]\s*[,;+.\\]?\s*")
 
 
-_DIRECTIVE = re.compile(r"^\s*(?:#!|<\?(?:php|xml)\b|<!doctype\b|@charset\b|['\"]use strict['\"];?\s*$)", re.I)
+_DIRECTIVE = re.compile(r"^\s*(?:#!|<\?(?:php|xml)\b|<!doctype\b|@charset\b|package\b|['\"]use strict['\"];?\s*$)", re.I)
 
 
-def leading(lines: list[str], most: int = 14) -> str:
-    """The comments above the first line of code, however many, and those among the first ``most`` lines of a file."""
+def leading(lines: list[str]) -> str:
+    """The comments above the first line of code, however many."""
     out = []
     block = ""
-    code = False
-    for k, line in enumerate(lines):
-        if k >= most and code:
-            break
+    for line in lines:
         s = line.strip()
         if block:
             out.append(s)
@@ -94,7 +94,7 @@ def leading(lines: list[str], most: int = 14) -> str:
             elif s[:3] in ('"""', "'''") and s.count(s[:3]) < 2:
                 block = s[:3]
         elif s and not _DIRECTIVE.match(line):
-            code = True
+            break
     return "\n".join(out)
 
 
@@ -142,45 +142,35 @@ def templated(text: str, lines: list[str]) -> bool:
             for name in some:
                 if name.endswith(str(k)) and (len(name) <= len(str(k)) or k or not name.endswith("00")):
                     k += 1
-            if k >= 3 and k >= 0.7 * len(some):
+            if k >= COUNTED and k >= 0.7 * len(some):
                 return True
     escapes = text.count("\\x")
     return escapes >= 30 and escapes * 4 > 0.2 * len(text)
 
 
-_OWN = re.compile(r"(?im)^\W*copyright \(c\) \d{4} the \w+ (?:platform|core|data)? ?(?:group|team)\b")
 #: A word of each alternative of the notices, to look for first.
-_GENERATED_HINTS = ("generated", "do not edit", "made", "created", "written", "produced", "overwritten", "lost", "discarded", "output of", "please do not", "run ", "erzeugt", "generiert", "généré", "genere", "generado")
-_VENDORED_HINTS = ("@license", "@preserve", "copied", "vendored", "imported", "taken", "forked", "extracted", "upstream", "(c)", "version", "copyright")
+_GENERATED_HINTS = ("generated", "do not edit", "overwritten", "lost", "discarded", "output of", "erzeugt", "generiert", "généré", "genere", "generado")
+_VENDORED_HINTS = ("@license", "@preserve", "copied", "vendored", "imported", "taken", "forked", "extracted", "upstream", "(c)", "version")
 
 
-def verdict(path: str, text: str, lines: list[str]) -> tuple[str | None, bool, bool]:
-    """(kind known from the file alone, notice of a package, notice of the workspace's own)."""
+def verdict(path: str, text: str, lines: list[str]) -> tuple[str | None, str | None]:
+    """(kind by the composition of tokens, kind by notices, name and folder) of a file."""
     name = path.rsplit("/", 1)[-1]
     ending = name.rsplit(".", 1)[-1].lower()
     if LOCKS.search(path) or (ending in ("json", "yaml", "yml", "lock", "toml") and LOCK_TEXT.search(text)):
-        return "lock file", False, False
-    head = leading(lines)
+        return None, "lock file"
     if ending not in SOURCE:
-        return ("generated" if GENERATED.search(head) and ending not in ("md", "txt", "rst") and GENERATED_PLACE.search(path) else None), False, False
+        return None, ("generated" if ending not in ("md", "txt", "rst") and GENERATED_PLACE.search(path) and GENERATED.search(leading(lines)) else None)
+    tokens = "minified" if minified(text, lines) else "data" if data(text, lines) else "generated" if templated(text, lines) else None
+    if tokens:
+        return tokens, None
+    head = leading(lines)
     low = head.lower()
-    own = "internal use; see" in low or ("copyright" in low and bool(_OWN.search(head)))
-    if any(w in low for w in _GENERATED_HINTS) and GENERATED.search(head):
-        return "generated", False, own
-    if minified(text, lines):
-        return "minified", False, own
-    if data(text, lines):
-        return "data", False, own
-    if GENERATED_NAME.search(name) or templated(text, lines):
-        return "generated", False, own
+    if GENERATED_NAME.search(name) or GENERATED_PLACE.search(path) or (any(w in low for w in _GENERATED_HINTS) and GENERATED.search(head)):
+        return None, "generated"
     if MINIFIED_NAME.search(name) and len(text) > 200 and max(map(len, lines)) > 150:
-        return "minified", False, own
-    notice = any(w in low for w in _VENDORED_HINTS) and bool(VENDORED.search(head))
-    if GENERATED_PLACE.search(path) and not own:
-        return "generated", notice, own
-    if VENDOR_PLACE.search(path) and not own:
-        return "vendored", True, own
-    return ("vendored" if notice and not own else None), notice, own
+        return None, "minified"
+    return None, ("vendored" if VENDOR_PLACE.search(path) or (any(w in low for w in _VENDORED_HINTS) and VENDORED.search(head)) else None)
 
 
 _NAMED = re.compile(r"[A-Za-z_]\w{2,}")
@@ -197,88 +187,97 @@ def telling(lines: list[str]) -> np.ndarray:
     return np.unique(np.array(out, np.uint64)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-_ONE = "path string, service string, file bigint, kind string, own boolean, lines int, hash bigint"
+_ONE = "path string, service string, file bigint, digest binary, tokens string, notice string, lines int, hashes array<bigint>"
+_ONE_ARROW = pa.schema([("path", pa.string()), ("service", pa.string()), ("file", pa.int64()), ("digest", pa.binary()), ("tokens", pa.string()), ("notice", pa.string()), ("lines", pa.int32()), ("hashes", pa.list_(pa.int64()))])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("path", pa.string()), ("service", pa.string()), ("file", pa.int64()), ("kind", pa.string()), ("own", pa.bool_()), ("lines", pa.int32()), ("hash", pa.int64())])
-    rows: list[tuple] = []
-    index: list[tuple[str, int, np.ndarray, bool]] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        yield from packed(rows, schema)
-        if index:
-            n = [len(x[2]) for x in index]
-            pick = pa.array(np.repeat(np.arange(len(index)), n))
-            total = sum(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(total, pa.string()), pa.array([x[0] for x in index]).take(pick), pa.array([x[1] for x in index]).take(pick), pa.nulls(total, pa.string()), pa.array([x[3] for x in index], pa.bool_()).take(pick), pa.nulls(total, pa.int32()), pa.array(np.concatenate([x[2] for x in index]))], schema=schema
-            )
-        rows.clear()
-        index.clear()
-
-    for path, text, _ in texts(batches):
-        lines = text.split("\n")
-        if not text.strip():
-            continue
-        kind, _, own = verdict(path, text, lines)
-        service = path.split("/", 1)[0]
-        file = xxhash.xxh3_64_intdigest(path) - (1 << 63)
-        hashes = telling(lines) if kind in (None, "vendored") and path.rsplit(".", 1)[-1].lower() in SOURCE else np.zeros(0, np.int64)
-        rows.append((path, service, file, kind, own, len(hashes), None))
-        if len(hashes):
-            index.append((service, file, hashes, own))
-        if len(rows) >= 512:
-            yield from flush()
-    yield from flush()
-
-
-def judged(lines: DataFrame, rare: int = RARE) -> DataFrame:
-    """(path, kind, containment, shared lines) of each file; kind is null for hand-written ones.
-
-    Links are as many as there are lines, whatever the number of files a line has;
-    only files they leave open ask for more partners, by their rarest lines. Hot
-    hashes are split by the skew join, and counts are pre-aggregated.
+    def rows() -> Iterator[tuple]:
+        for path, text, _ in texts(batches):
+            if not text.strip():
+                continue
+            lines = text.split("\n")
+            tokens, notice = verdict(path, text, lines)
+            hashes = telling(lines) if path.rsplit(".", 1)[-1].lower() in SOURCE else None
+            enough = hashes is not None and len(hashes) >= LEAST_SHARED
+            yield path, path.split("/", 1)[0], xxhash.xxh3_64_intdigest(path) - (1 << 63), xxhash.xxh3_128_digest(hashes.tobytes()) if enough else None, tokens, notice, len(hashes) if enough else 0, hashes.tolist() if enough else None
+
+    yield from packed(rows(), _ONE_ARROW, rows_each=1024)
+
+
+def judged(lines: DataFrame, rare: int = RARE, contained: float = CONTAINED) -> DataFrame:
+    """(path, kind, evidence, containment, shared lines, lines) of each file; kind is null for hand-written ones.
+
+    Hot hashes and hot contents are pre-aggregated where they are counted and
+    split by the skew join where they are joined.
     """
     runs = packed_lines(lines).repartition("path").sortWithinPartitions(F.xxhash64("path"), "path")
-    one = materialize(runs.mapInArrow(_read, _ONE), "p1-index")
-    files = one.where(F.col("hash").isNull()).select("path", "service", "file", "kind", "own", "lines")
-    index = one.where(F.col("hash").isNotNull()).select("hash", "file", "service", "own")
-    rare = max(rare, files.count() // 2)
-    place = F.when(~F.col("own"), F.struct("service", "file"))
-    frequent, crossing = F.col("n") > rare, F.col("low.service") != F.col("high.service")
-    groups = index.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high")).where(frequent | crossing)
-    partner = F.when(F.col("service") != F.col("low.service"), F.col("low.file")).otherwise(F.col("high.file"))
-    held = materialize(index.where("not own").join(groups, "hash").select("hash", "file", "service", "n", partner.alias("partner")), "p1-held")
-    lines_of = held.where(~frequent)
-    telling_lines = files.where("not own").select("file", "lines").join(held.where(frequent).groupBy("file").agg(F.count("*").alias("frequent")), "file", "left")
-    sizes = telling_lines.select("file", (F.col("lines") - F.coalesce("frequent", F.lit(0))).alias("of"))
-
-    proposed = lines_of.groupBy("file", "partner").agg(F.count("*").alias("links")).where(F.col("links") >= LEAST_SHARED).select("file", "partner")
-    first = materialize(_contained(proposed, lines_of, sizes), "p1-proposed")
-    copies = first.where(F.col("containment") >= CONTAINED).select("file")
-
-    # A file with ``need`` of its lines in a partner has any (lines - need + 1) of them not all outside of it.
-    need = F.greatest(F.lit(LEAST_SHARED), F.ceil(F.col("of") * CONTAINED - 1e-9))
-    open_files = lines_of.join(copies, "file", "left_anti").groupBy("file").agg(F.count("*").alias("have")).join(sizes, "file").select("file", (F.col("have") - need + 1).alias("ask")).where(F.col("ask") > 0)
-    order = Window.partitionBy("file").orderBy("n", "hash")
-    asked = lines_of.join(open_files, "file").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("ask"))
-    holders = lines_of.select("hash", F.col("file").alias("partner"), F.col("service").alias("partner_service"))
-    others = asked.select("hash", "file", "service").join(holders, "hash").where(F.col("service") != F.col("partner_service")).select("file", "partner").distinct()
-    second = _contained(others, lines_of, sizes)
-
-    best = first.unionByName(second).groupBy("file").agg(F.max("containment").alias("containment"), F.max("shared").alias("shared"))
-    copy = F.col("containment") >= CONTAINED
-    return files.join(best, "file", "left").select("path", F.coalesce("kind", F.when(copy, F.lit("vendored"))).alias("kind"), F.coalesce("containment", F.lit(0.0)).alias("containment"), F.coalesce("shared", F.lit(0).cast("bigint")).alias("shared_lines"), "own", "lines")
-
-
-def _contained(pairs: DataFrame, lines_of: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(file, containment, shared) of both files of each pair, by a join of their lines."""
-    mine = lines_of.select("file", "hash")
-    theirs = lines_of.select(F.col("file").alias("partner"), "hash")
-    both = pairs.join(mine, "file").join(theirs, ["partner", "hash"]).groupBy("file", "partner").agg(F.count("*").alias("shared")).where(F.col("shared") >= LEAST_SHARED)
-    sides = both.select(F.explode(F.array("file", "partner")).alias("file"), "shared").groupBy("file").agg(F.max("shared").alias("shared"))
-    return sides.join(sizes, "file").select("file", (F.col("shared") / F.col("of")).alias("containment"), "shared")
+    one = materialize(runs.mapInArrow(_read, _ONE), "p1-files")
+    files = one.select("path", "service", "file", "digest", "tokens", "notice", "lines")
+    sole = F.when(F.min("service") == F.max("service"), F.min("service"))
+    contents = materialize(files.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("file").alias("content"), sole.alias("home"), F.count("*").alias("copies"), F.first("lines").alias("of")), "p1-contents")
+    holders = contents.select(F.col("content").alias("file"), "home", "copies", "of")
+    index = one.where(F.col("digest").isNotNull()).select("file", "hashes").join(holders, "file").select(F.explode("hashes").alias("hash"), F.col("file").alias("content"), "home", "copies", "of")
+
+    who = [F.col("content"), F.col("home")]
+    stands = F.array(
+        _named(F.min(F.struct((-F.col("copies")).alias("k"), *who))),
+        _named(F.min(F.struct(F.coalesce("home", F.lit("")).alias("k"), *who))),
+        _named(F.max(F.struct(F.coalesce("home", F.lit("")).alias("k"), *who))),
+        _named(F.min(F.struct(F.xxhash64("content").alias("k"), *who))),
+    )
+    groups = index.groupBy("hash").agg(F.count("*").alias("n"), stands.alias("stands")).where("n > 1")
+    held = materialize(index.drop("copies").join(groups, "hash"), "p1-held")
+
+    # A copy needs ``need`` of its rare lines in one partner, or the share of all its lines.
+    rarely = F.coalesce(F.sum(F.when(F.col("n") <= rare, 1)), F.lit(0))
+    need = F.greatest(F.lit(LEAST_SHARED), F.ceil(F.col("rare_of") * contained - 1e-9))
+    sums = held.groupBy("content", "home", "of").agg(F.count("*").alias("have"), rarely.alias("have_rare")).withColumn("rare_of", F.col("of") - F.col("have") + F.col("have_rare"))
+    able = materialize(sums.where(F.col("home").isNotNull() & ((F.col("have_rare") >= need) | (F.col("have") >= F.greatest(F.lit(LEAST_SHARED), F.col("of") * contained)))), "p1-able")
+    line_of = held.select("hash", "content", "n", F.array_distinct("stands").alias("stands"))
+    elsewhere = F.col("partner_home").isNull() | (F.col("partner_home") != F.col("home"))
+    asked = able.select("content", "home").join(line_of, "content")
+    proposed = (
+        asked.select("content", "home", F.explode("stands").alias("s")).select("content", "home", F.col("s.content").alias("partner"), F.col("s.home").alias("partner_home"))
+        .where((F.col("content") != F.col("partner")) & elsewhere).groupBy("content", "partner").agg(F.count("*").alias("links")).where(F.col("links") >= LEAST_SHARED).select("content", "partner")
+    )
+    first = materialize(_counted(proposed, held, able, contents, rare), "p1-first")
+    found = first.where(F.col("containment") >= contained).select("content").distinct()
+
+    # A content with ``need`` of its rare lines in a partner has any (rare_of - need + 1) of them not all outside of it.
+    left = able.join(found, "content", "left_anti").select("content", "home", (F.col("have_rare") - need + 1).alias("ask"))
+    order = Window.partitionBy("content").orderBy("n", "hash")
+    asks = left.where(F.col("ask") > 0).join(line_of.where(F.col("n") <= rare), "content").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("ask"))
+    others = asks.select("hash", "content", "home").join(held.select("hash", F.col("content").alias("partner"), F.col("home").alias("partner_home")), "hash").where((F.col("content") != F.col("partner")) & elsewhere).select("content", "partner").distinct()
+    second = _counted(others, held, able, contents, rare)
+
+    best = first.unionByName(second).groupBy("content").agg(F.max(F.struct("containment", "shared")).alias("best"))
+    spread = F.col("home").isNull()
+    known = contents.join(best, "content", "left").select(
+        "digest", (spread | F.coalesce(F.col("best.containment") >= contained, F.lit(False))).alias("copy"), F.when(spread, 1.0).otherwise(F.col("best.containment")).alias("containment"), F.when(spread, F.col("of").cast("bigint")).otherwise(F.col("best.shared")).alias("shared_lines")
+    )
+    copy = F.coalesce("copy", F.lit(False))
+    return files.join(known, "digest", "left").select(
+        "path",
+        F.when(copy, F.lit("vendored")).otherwise(F.coalesce("tokens", "notice")).alias("kind"),
+        F.when(copy, F.lit("containment")).when(F.col("tokens").isNotNull(), F.lit("tokens")).when(F.col("notice").isNotNull(), F.lit("notice")).alias("evidence"),
+        "containment", "shared_lines", "lines",
+    )
+
+
+def _named(s: Column) -> Column:
+    return F.struct(s["content"].alias("content"), s["home"].alias("home"))
+
+
+def _counted(pairs: DataFrame, held: DataFrame, able: DataFrame, contents: DataFrame, rare: int) -> DataFrame:
+    """(content, containment, shared) of each pair, by a join of both sides' lines."""
+    mine = held.select("content", "hash", (F.col("n") <= rare).cast("int").alias("rare"))
+    theirs = held.select(F.col("content").alias("partner"), "hash")
+    both = pairs.join(mine, "content").join(theirs, ["partner", "hash"]).groupBy("content", "partner").agg(F.count("*").alias("shared"), F.sum("rare").alias("rare")).where(F.col("shared") >= LEAST_SHARED)
+    sized = both.join(able.select("content", "of", "rare_of"), "content").join(contents.select(F.col("content").alias("partner"), F.col("of").alias("partner_of")), "partner")
+    by_rare = F.when(F.col("rare") >= LEAST_SHARED, F.col("rare") / F.col("rare_of")).otherwise(0.0)
+    alike = F.least(F.col("shared") / F.col("of"), F.col("shared") / F.col("partner_of"))
+    return sized.select("content", F.greatest(by_rare, alike).alias("containment"), "shared")
 
 
 def found(rows: DataFrame) -> DataFrame:

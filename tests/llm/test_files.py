@@ -147,7 +147,7 @@ def test_shared_spans(spark, monkeypatch):
 
 
 def test_origin_rules():
-    v = lambda p, t: O.verdict(p, t, t.split("\n"))[0]
+    v = lambda p, t: max(O.verdict(p, t, t.split("\n")), key=bool)
     code = "def a(x):\n    return x + 1\n"
     assert v("s/a.py", "# Code generated by x v1. DO NOT EDIT.\n" + code) == "generated"
     assert v("s/a.py", "# Reads what x generated; do not edit the order of the calls.\n" + code) is None
@@ -187,12 +187,15 @@ def test_copies_with_lines_held_elsewhere(spark):
     spread = own(40)
     files |= {"15/spread.py": spread, "25/spread.py": spread}
     files |= {f"{s}/part{i}.py": spread[i : i + 5] + own(60) for i in range(0, 40, 5) for s in ("01", "38")}
-    # A file with a notice of the workspace's own stands before two copies.
+    # A copy is a copy whatever notice it carries.
     noted = own(20)
     files |= {"02/noted.py": ["# Copyright (c) 2024 the acme platform team", *noted], "12/noted.py": noted, "13/noted.py": noted}
+    # Two identical files, and a third that has a fifth of their lines.
+    twins = own(100)
+    files |= {"b/twin.py": twins, "c/twin.py": twins, "a/part.py": twins[:20] + own(40)}
     rows = {x["path"]: (x["kind"], x["containment"]) for x in O.judged(table(spark, {p: "\n".join(x) for p, x in files.items()})).collect()}
-    want = {"10/lib.py", "30/lib.py", "15/spread.py", "25/spread.py", "12/noted.py", "13/noted.py"}
-    assert {p for p, (k, _) in rows.items() if k} == want and all(rows[p][1] == 1 for p in want)
+    want = {"10/lib.py", "30/lib.py", "15/spread.py", "25/spread.py", "12/noted.py", "13/noted.py", "02/noted.py", "b/twin.py", "c/twin.py"}
+    assert {p for p, (k, _) in rows.items() if k} == want and all(rows[p][1] == 1 for p in want - {"02/noted.py"}) and rows["02/noted.py"][1] == 20 / 21
 
 
 def test_frequent_lines_count_on_neither_side(spark):
@@ -205,8 +208,24 @@ def test_frequent_lines_count_on_neither_side(spark):
     assert {p for p, x in rows.items() if x["kind"]} == {"50/a.py", "51/b.py"} and rows["50/a.py"]["shared_lines"] == 10
 
 
+def test_copies_of_a_library_that_many_edited(spark):
+    """Lines of more contents than are rare: each edited copy is found through those that stand for its lines."""
+    r = random.Random(8)
+    line = lambda: f"    name{r.randrange(10**6)} = call{r.randrange(10**6)}(value{r.randrange(10**6)})"
+    lib = [line() for _ in range(60)]
+    files = {f"{i:02}/lib.py": "\n".join([*lib[:i], line(), *lib[i + 1 :]]) for i in range(20)}
+    files |= {f"{i:02}/own.py": "\n".join([*lib[:12], *(line() for _ in range(12))]) for i in range(20)}
+    rows = {x["path"]: x for x in O.judged(table(spark, files), rare=5).collect()}
+    assert {p for p, x in rows.items() if x["kind"]} == {f"{i:02}/lib.py" for i in range(20)} and {x["evidence"] for x in rows.values() if x["kind"]} == {"containment"}
+
+
+def test_few_numbered_names_are_written_by_hand():
+    text = "def start(x):\n    return x\n\n\n" + "".join(f"def step{i}(x):\n    return x + {i}\n\n\n" for i in range(3))
+    assert O.verdict("s/a.py", text, text.split("\n")) == (None, None)
+
+
 def test_notices_below_a_licence_head():
-    v = lambda p, t: O.verdict(p, t, t.split("\n"))[0]
+    v = lambda p, t: max(O.verdict(p, t, t.split("\n")), key=bool)
     head = ["Licensed under the Apache License, Version 2.0", *(f"you may not use this file except as said in part {i}" for i in range(17))]
     slashes, block, code = "".join(f"// {x}\n" for x in head), "/*\n" + "".join(f" * {x}\n" for x in head) + " */\n", "package p\n\nfunc F() int {\n\treturn 1\n}\n"
     for top in (slashes, block, "//go:build linux\n\n" + slashes):
