@@ -14,8 +14,9 @@ help another reading to its ``LEAST`` documents), and a text is damaged where an
 ``GAIN`` times as usual. What is damaged alike in many texts must not count as
 usual: the counts are first taken from texts whose letters fit an alphabet
 (``orderly``), then from all texts that those counts do not show to be damaged.
-Two characters must become better, or one that no other intact text has beside its
-neighbours (marks that join words aside) and whose other reading ``STRONG`` different texts have.
+Two characters must become better, or one (marks that join words aside) whose other
+reading ``STRONG`` different texts have, ``ALONE`` times as many as other intact texts have it
+beside its neighbours. What the other readings of three characters say is worked out once a worker.
 The counts are keyed by two characters of legacy code pages, so the table has at
 most 2 x 700 x 700 rows at any size of the corpus.
 
@@ -47,8 +48,10 @@ _CYRILLIC = ("cp1251", "cp866", "koi8_r")
 GAIN = 8
 LEAST = 3
 STRONG = 10
+ALONE = 50
+#: Share of the intact texts above which a pair of neighbours is usual.
 WEAK = 0.002
-LAYERS = 4
+_KEPT = 1_000_000
 
 
 def _page(name: str) -> dict[int, str]:
@@ -110,6 +113,7 @@ class _Reader:
 
 _READERS: list[_Reader] = []
 _NONASCII = re.compile(r"[^\x00-\x7f]")
+_TOGETHER = re.compile(r"[^\x00-\x7f]{2,}")
 _QUOTES = {"“": "”", "„": "“", "«": "»", "‘": "’", '"': '"', "'": "'", "`": "`", "‹": "›", "「": "」"}
 _LOST = re.compile(r"\w�|�\w|��")
 
@@ -150,38 +154,41 @@ _SPARSE = re.compile(r"[\u0590-\u0e7f]")
 
 
 def _fine(got: str) -> bool:
-    """Usual characters, or another layer of damage that ends in usual characters.
+    """Usual characters, or more layers of damage, by whatever code pages, that end in usual characters.
 
     A single letter of a script whose words are written in nothing else is chance.
     """
     if all(map(_usual, got)):
         return len(got) >= 3 or not _SPARSE.search(got)
-    for reader in _readers()[:1]:
-        m = reader.span.fullmatch(got)
-        inner = m and reader.decoded(got)
-        if inner and all(map(_usual, inner)):
-            return True
+    for reader in _readers():
+        if got[0] in reader.leads and reader.span.fullmatch(got):
+            inner = reader.decoded(got)
+            if inner and (all(map(_usual, inner)) or (len(inner) > 1 and _fine(inner))):
+                return True
     return False
 
 
 def restore_multibyte(text: str) -> tuple[str, list[str], int]:
-    """(text, code page of each layer, characters decoded)."""
+    """(text, code page of each layer, characters decoded); every layer shortens the text, so they end."""
     pages, changed = [], 0
-    for _ in range(LAYERS):
-        if not _NONASCII.search(text):
+    while True:
+        together = " ".join(_TOGETHER.findall(text))  # well-formed spans have two characters beyond ASCII at least
+        if not together:
             break
-        best: tuple[int, _Reader, list] | None = None
-        have = set(_NONASCII.findall(text))
+        best: tuple[int, int, _Reader, list] | None = None
+        have = set(together)
         for reader in _readers():
-            if have.isdisjoint(reader.leads) or have.isdisjoint(reader.tails):
+            if have.isdisjoint(reader.leads) or have.isdisjoint(reader.tails) or not reader.one.search(together):
                 continue
             spans = _layer(text, reader)
             gain = sum(b - a for a, b, _ in spans)
-            if gain and (best is None or gain > best[0]):
-                best = (gain, reader, spans)
+            # Of code pages that explain as much, the one that puts fewest capitals behind small letters.
+            capitals = sum(a > 0 and got[0].isupper() and text[a - 1].islower() for a, _, got in spans)
+            if gain and (best is None or (gain, -capitals) > best[:2]):
+                best = (gain, -capitals, reader, spans)
         if best is None:
             break
-        gain, reader, spans = best
+        gain, _, reader, spans = best
         parts, at = [], 0
         for a, b, got in spans:
             parts += [text[at:a], got]
@@ -235,21 +242,22 @@ def _side(c: str) -> str:
     return c if c in _LEGACY else "@"
 
 
-def _positions(text: str) -> Iterator[int]:
-    for m in _NONASCII.finditer(text):
-        if m[0] in _LEGACY and (m[0] == "\xa0" or not m[0].isspace()):
-            yield m.start()
+_LEGACY_MARK = re.compile("[" + "".join(re.escape(c) for c in sorted(_LEGACY) if c == "\xa0" or not c.isspace()) + "]")
+
+
+def _positions(text: str) -> list[int]:
+    return [m.start() for m in _LEGACY_MARK.finditer(text)]
+
+
+def _keys(near: str) -> tuple[str, str]:
+    """The keys of a character between its neighbours: '<' with the left one, '>' with the right one."""
+    return "<" + _side(near[0]) + near[1], ">" + near[1] + _side(near[2])
 
 
 def neighbours(text: str) -> set[str]:
-    """Keys of ``text``: '<' with left neighbour and character, '>' with character and right neighbour."""
-    out = set()
-    n = len(text)
-    for i in _positions(text):
-        c = text[i]
-        out.add("<" + (_side(text[i - 1]) if i else " ") + c)
-        out.add(">" + c + (_side(text[i + 1]) if i + 1 < n else " "))
-    return out
+    """The keys of all characters of ``text`` that legacy code pages have."""
+    padded = f" {text} "
+    return {k for near in {padded[i : i + 3] for i in _positions(text)} for k in _keys(near)}
 
 
 #: Letters beyond ASCII of the languages of each script.
@@ -298,6 +306,7 @@ class SingleByte:
     def __init__(self, counts: dict[str, tuple[int, int]], texts: int):
         self.counts = counts
         self.weak = max(2.0, WEAK * texts)
+        self.known: dict[str, tuple | None] = {}
         self.readings: list[tuple[str, str, dict[int, str]]] = []
         pages = {n: _page(n) for n in SINGLE}
         for wrong in SINGLE:
@@ -308,49 +317,66 @@ class SingleByte:
                         table |= {b: pages[right][b] for b in range(0x80, 0xA0)}
                     self.readings.append((wrong, right, table))
 
-    def usual(self, text: str, i: int) -> tuple[int, int]:
-        """(texts, documents) that have the character beside its neighbours."""
-        c, get = text[i], self.counts.get
-        left = get("<" + (_side(text[i - 1]) if i else " ") + c, (0, 0))
-        right = get(">" + c + (_side(text[i + 1]) if i + 1 < len(text) else " "), (0, 0))
+    def usual(self, near: str) -> tuple[int, int]:
+        """(texts, documents) that have the middle character beside its neighbours."""
+        left, right = (self.counts.get(k, (0, 0)) for k in _keys(near))
         return min(left[0], right[0]), min(left[1], right[1])
 
-    def restore(self, text: str, alone: bool = True) -> tuple[str, str, int] | None:
-        """(text, 'wrong>right', characters changed), if another reading is far more usual; ``alone``: of one character, too."""
-        rare = {i: u for i in _positions(text) if text[i] != "�" and (u := self.usual(text, i)[0]) <= self.weak and not _quoted(text, i, i + 1)}
-        if not rare:
-            return None
-        have = {ord(text[i]) for i in rare}
-        best: tuple[float, str, dict[int, str]] | None = None
-        for wrong, right, table in self.readings:
-            if have.isdisjoint(table):
-                continue
-            better, sure, worse = 0, 0, 0
-            for i, u in rare.items():
-                near = text[max(0, i - 1) : i + 2].translate(table)
-                at = min(i, 1)
-                if near[at] == text[i]:
+    def effect(self, near: str) -> tuple[int, list[tuple[int, int, bool, int]]] | None:
+        """What other readings make of the middle character: how usual it is, then (reading, better, sure, worse) of each; None if it is usual."""
+        if near in self.known:
+            return self.known[near]
+        u = self.usual(near)[0]
+        out = None
+        if near[1] != "�" and u <= self.weak:
+            said = []
+            for k, (_, _, table) in enumerate(self.readings):
+                other = near.translate(table)
+                if other[1] == near[1]:
                     continue
-                v, documents = self.usual(near, at) if ord(near[at]) > 127 else (0, 0)
+                v, documents = self.usual(other) if other[1] > "\x7f" else (0, 0)
                 if documents >= LEAST and v >= GAIN * u:
-                    better += 1
-                    sure += alone and u <= 1 and v >= STRONG and text[i] not in _JOINING and near[at].isalpha() and not (near[at].islower() and near[at + 1 :].isupper())
+                    sure = v >= max(STRONG, ALONE * (u - 1)) and near[1] not in _JOINING and other[1].isalpha() and not (other[1].islower() and other[2].isupper())
+                    said.append((k, 1, sure, 0))
                 elif v < u:
-                    worse += 1
-            score = better - worse
-            if (better >= 2 or sure) and score > 0 and (best is None or score > best[0]):
-                best = (score, f"{wrong}>{right}", table)
+                    said.append((k, 0, False, 1))
+            out = (u, said)
+        if len(self.known) >= _KEPT:
+            self.known.clear()
+        self.known[near] = out
+        return out
+
+    def restore(self, text: str, alone: bool = True) -> tuple[str, str, int] | None:
+        """(text, 'wrong>right', characters changed), if another reading is far more usual; ``alone``: of one character, too."""
+        padded = f" {text} "
+        rare: dict[int, int] = {}
+        sums: dict[int, list[int]] = {}
+        for i in _positions(text):
+            got = self.effect(padded[i : i + 3])
+            if got is None or _quoted(text, i, i + 1):
+                continue
+            rare[i] = got[0]
+            for k, better, sure, worse in got[1]:
+                s = sums.setdefault(k, [0, 0, 0])
+                s[0] += better
+                s[1] += sure
+                s[2] += worse
+        best: tuple[int, int] | None = None
+        for k in sorted(sums):
+            better, sure, worse = sums[k]
+            if (better >= 2 or (alone and sure)) and better > worse and (best is None or better - worse > best[0]):
+                best = (better - worse, k)
         if best is None:
             return None
-        _, name, table = best
+        wrong, right, table = self.readings[best[1]]
         out = list(text)
         changed = 0
-        for i in rare:
-            near, at = text[max(0, i - 1) : i + 2].translate(table), min(i, 1)
-            if near[at] != text[i] and self.usual(near, at)[0] >= rare[i]:
-                out[i] = near[at]
+        for i, u in rare.items():
+            near = padded[i : i + 3].translate(table)
+            if near[1] != text[i] and self.usual(near)[0] >= u:
+                out[i] = near[1]
                 changed += 1
-        return "".join(out), name, changed
+        return "".join(out), f"{wrong}>{right}", changed
 
 
 STATES = ("restored", "partly", "lost")
@@ -442,7 +468,7 @@ def damaged(documents: DataFrame) -> DataFrame:
 
         yield from packed(rows(), schema)
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInArrow(run, SCHEMA)
 
 
 def found(rows: DataFrame) -> DataFrame:

@@ -28,6 +28,14 @@ def test_twice_and_part():
     assert E.examine("fen�tre tr�s", None)[0] == "lost"
 
 
+@pytest.mark.parametrize("page", E.PAGES)
+def test_many_layers(page):
+    text = bad = "Die Größe der Übersicht hängt von geänderten Einträgen ab, die nächste „Prüfung“ läuft."
+    for _ in range(5):
+        bad = "".join(E._page(page)[b] if b > 127 else chr(b) for b in bad.encode())
+        assert E.restore_multibyte(bad)[0] == text
+
+
 def test_table(spark):
     clean = [(i, "Größe und Läufe für Prüfsumme häufig", "x") for i in range(60)]
     df = spark.createDataFrame(clean + [(100, "Gr÷▀e und LΣufe fⁿr Prⁿfsumme hΣufig", "x"), (101, "naÃ¯ve RÃ©sumÃ©", "x"), (102, None, "x"), (103, "", "x"), (101, "naÃ¯ve RÃ©sumÃ©", "x")], "doc_id bigint, text string, state string")
