@@ -61,7 +61,7 @@ _LOOSE = re.compile(rf"(?i)\b(?P<key>[\w.\-]*(?:{_NAMES})[\w.\-]*)\s*[=:]\s*(?P<
 _SAID = re.compile(rf"(?i)\b(?P<key>(?:[\w\-]+[ ])?(?:password|passwd|pwd|passphrase|kennwort|secret|api key|token|login))[\"']?\s+(?:is|was|=|:|->)?\s*[\"'`](?P<val>[^\s\"'`]{{6,}})[\"'`]")
 _USER = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://(?P<user>[^\s/:@\"'<>]*):(?P<val>[^\s/@\"'<>][^\s/@\"']*|<[^>]*>|\{\{[^}]*\}\}|\$\{[^}]*\})@")
 _QUERY = re.compile(r"(?i)[?&;](?P<key>[\w\-]*(?:token|key|secret|sig|signature|password|passwd|pwd|auth|credential|code)[\w\-]*)=(?P<val>[^&\s\"'<>#`]+)")
-_HEADER = re.compile(r"(?i)\b(?P<key>bearer|basic|token|apikey|digest)[ =:]+(?P<val>[A-Za-z0-9._~+/\-]{8,}={0,2})")
+_HEADER = re.compile(r"(?i)\b(?P<key>bearer|basic|token|apikey|digest)[ :]+(?P<val>[A-Za-z0-9._~+/\-]{8,}={0,2})")
 _HEADER_NEAR = re.compile(r"(?i)authori[sz]ation|x-api-key|proxy-auth|header")
 _SQL = re.compile(r"(?i)\b(?:PASSWORD|IDENTIFIED\s+BY(?:\s+PASSWORD)?|IDENTIFIED\s+WITH\s+\w+\s+BY)\s*(?:=\s*)?'(?P<val>[^'\n]+)'")
 _CLI = re.compile(r"(?i)(?:\s-u\s+[\"']?[\w.\-@]+:(?P<a>[^\s\"']+)|\s--?(?:password|passwd|pass|token|secret|api-key|apikey|auth-token)[= ][\"']?(?P<b>[^\s\"'\-][^\s\"']+)|\bsshpass\s+-p\s*[\"']?(?P<c>[^\s\"']+)|\bPGPASSWORD=[\"']?(?P<d>[^\s\"']+)|\b(?:mysql|mariadb|mongo)\w*\s(?:[^|;]*\s)?-p[\"']?(?P<e>[^\s\"']{4,})|\b(?:login|machine)\s+\S+.*\s(?:password|passwd)\s+(?P<f>[^\s\"']{4,}))")
@@ -174,10 +174,15 @@ def fold(data: bytes) -> np.ndarray:
     return np.where((a < 1) | (a > 95), np.where(a > 95, 96, 0), a)
 
 
+def _own_name(key: str) -> str:
+    """The last two parts of a dotted name; those before say where a setting belongs."""
+    return ".".join(key.split(".")[-2:])
+
+
 def features(c: Candidate, ending: str, chain: Markov) -> list[float]:
     """What is known of a candidate but for ``words`` and ``place``, which a model adds."""
     v = c.value
-    words = [w.lower() for w in _WORD.findall(c.key)]
+    words = [w.lower() for w in _WORD.findall(_own_name(c.key))]
     have = set(words)
     joined = "".join(words)
     strong = bool(have & STRONG) or any(s in joined for s in ("password", "passwd", "apikey", "secretkey", "passphrase"))
@@ -196,7 +201,7 @@ def features(c: Candidate, ending: str, chain: Markov) -> list[float]:
     return [
         1.0, strong, weaker and not strong, with_key, other, bool(have & PLAIN), not named and c.form in ("set", "bare", "loose"), known, c.form == "userinfo", c.form == "query", c.form == "header", command,
         bool(PLACEHOLDER.search(v)), bool(_PUBLIC.search(v)), bool(_UUID.match(v)), bool(_HEX.match(v)), bool(_REFERENCE.match(v)) and not known, bool(_LOWER.match(v)), bool(re.search(r"\s", v)), len(v) < 6,
-        min(3.0, len(v) / 16), classes, digits, unlikely, unlikely * named, bool(re.fullmatch(r"[\d.,]+\w?", v)), ending in _CONFIG, c.form == "loose", bool(re.match(r"[a-z+]+://|\.{0,2}/|[\w.-]+\.(?:pem|key|crt|json|ya?ml|txt|env|p12|jks)$", v)), bool(re.match(r"[a-z]+(?:-[a-z]+)+\d", v)), c.form == "armour", 0.0, 0.0,
+        min(3.0, len(v) / 16), classes, digits, unlikely, unlikely * named, bool(re.fullmatch(r"[\d.,]+\w?", v)), ending in _CONFIG, c.form == "loose", bool(re.match(r"[a-z+]+://|\.{0,2}/[a-z0-9_./-]*$|[\w.-]+\.(?:pem|key|crt|json|ya?ml|txt|env|p12|jks)$", v)), bool(re.match(r"[a-z]+(?:-[a-z]+)+\d", v)), c.form == "armour", 0.0, 0.0,
     ]
 
 
@@ -228,7 +233,7 @@ _SMOOTH = 4.0
 
 
 def key_words(c: Candidate) -> list[str]:
-    return [w.lower() for w in _WORD.findall(c.key) if not w.isdigit()]
+    return [w.lower() for w in _WORD.findall(_own_name(c.key)) if not w.isdigit()]
 
 
 def place_words(path: str) -> list[str]:
