@@ -1,13 +1,17 @@
 """Functions and methods paired with their documentation.
 
-In each file the candidates are the comments (in Python the first string of the
-body) near a definition. Every link between a candidate and a definition gets a
-weight from the lines between them, the parameters and the name the comment
-mentions; components of links are solved as an assignment, each comment to one
-definition at most and each definition to one comment. A link is implausible if
-anything but Rust attributes stands between, if the comment is of a kind that is
-no documentation in the language, or if it is a notice about the file. Of the
-rest, pairs without a description of their own are dropped.
+The candidates of a file are all its comments and, in Python, the strings that
+bodies begin with. A definition is linked to its own string and to every comment
+that ends within ``REACH`` lines above it, whatever stands between, so a comment may
+have several definitions and a definition several comments. A link's weight comes
+from the lines between, the kind of comment, the parameters its tags name and the
+name it mentions. The links are solved as an assignment of greatest weight, each
+comment to one definition at most and each definition to one comment, by the
+Hungarian method on each component; a component of more than ``SMALL`` is first cut by
+fixing links that outweigh the best others of both their ends together, which belong
+to a solution. An assigned link is implausible if anything but Rust attributes stands between, if the
+comment is of a kind that is no documentation in the language, or if it is a notice
+about the file. Of the rest, pairs without a description of their own are dropped.
 
 Defined results: equal rows of symbols count once; a definition in a file that
 does not parse is paired like any other; a row whose line is outside of the text
@@ -18,6 +22,7 @@ start; a null name matches nothing, so it needs a plausible comment.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 from typing import NamedTuple
 
@@ -29,11 +34,14 @@ from loamdex.llm.byfile import SourceFile, Symbol, gathered, per_file
 
 KINDS = ("function", "method", "generator_function_declaration")
 LEAST_WORDS = 4
-GAP = 2
+#: Components with no more on either side are solved as they are.
+SMALL = 4
+#: Lines above a definition in which a comment is a candidate.
+REACH = 6
 
 
 class Comment(NamedTuple):
-    """Lines are 0-based; ``style`` is docstring, slashes, triple, block or doc."""
+    """Lines are 0-based; ``style`` is docstring, hash, slashes, triple, block or doc."""
 
     first: int
     last: int
@@ -68,45 +76,70 @@ def docstring(lines: list[str], symbol: Symbol) -> Comment | None:
     return None
 
 
-def comment_above(lines: list[str], at: int, attributes: bool) -> tuple[Comment, int] | None:
-    """The comment that ends above line ``at`` and the lines between, if few."""
-    k, gap = at - 1, 0
-    while k >= 0:
+def comments_of(lines: list[str], python: bool) -> list[Comment]:
+    """The comments that stand on lines of their own, in order: runs of line comments, and blocks from their opening to their end."""
+    out, k, n = [], 0, len(lines)
+    while k < n:
         s = lines[k].strip()
-        if attributes and (s.startswith(("#[", "#![")) or (s.endswith("]") and _attribute_start(lines, k) is not None)):
-            k = k if s.startswith("#") else _attribute_start(lines, k)
-        elif not s and gap < GAP:
-            gap += 1
+        if python:
+            first = k
+            while k < n and lines[k].lstrip().startswith("#"):
+                k += 1
+            if k > first:
+                out.append(Comment(first, k - 1, "hash", "\n".join(x.strip().lstrip("#") for x in lines[first:k])))
+            else:
+                k += 1
+        elif s.startswith("//"):
+            triple, first = _triple(s), k
+            while k < n and (t := lines[k].strip()).startswith("//") and _triple(t) == triple:
+                k += 1
+            out.append(Comment(first, k - 1, "triple" if triple else "slashes", "\n".join(x.strip().lstrip("/").removeprefix("!") for x in lines[first:k])))
+        elif s.startswith("/*"):
+            first, at = k, lines[k].find("/*") + 2
+            while k < n and (end := lines[k].find("*/", at)) < 0:
+                k, at = k + 1, 0
+            if k == n:  # not closed: nothing below is looked at as a comment's text
+                k = first + 1
+                continue
+            if lines[k][end + 2 :].strip():  # code behind it
+                k += 1
+                continue
+            text = "\n".join([lines[first].lstrip(), *lines[first + 1 : k + 1]]).strip()
+            doc = len(text) > 4 and text.startswith(("/**", "/*!")) and not text.startswith(("/***", "/**/"))
+            inner = text[3 if doc else 2 : -2]
+            out.append(Comment(first, k, "doc" if doc else "block", "\n".join(re.sub(r"^\s*\*+ ?", "", x) if i else x for i, x in enumerate(inner.split("\n")))))
+            k += 1
         else:
-            break
-        k -= 1
-    if k < 0:
-        return None
-    s = lines[k].strip()
-    if s.startswith("//"):
-        triple = s.startswith("///") and not s.startswith("////")
-        first = k
-        while first and (t := lines[first - 1].strip()).startswith("//") and (t.startswith("///") and not t.startswith("////")) == triple:
-            first -= 1
-        body = "\n".join(x.strip().lstrip("/").removeprefix("!") for x in lines[first : k + 1])
-        return Comment(first, k, "triple" if triple else "slashes", body), gap
-    if s.endswith("*/"):
-        for first in range(k, -1, -1):
-            p = lines[first].rfind("/*") if first < k else lines[first].rfind("/*", 0, len(lines[first].rstrip()) - 1)
-            if p >= 0:
-                break
-            if "*/" in lines[first] and first < k:
-                return None
+            k += 1
+    return out
+
+
+def _triple(s: str) -> bool:
+    return s.startswith("///") and not s.startswith("////")
+
+
+def between(lines: list[str], last: int, at: int, attributes: bool) -> int:
+    """How much stands between a comment that ends on line ``last`` and a definition on line ``at``: blank lines count once, others twice, attributes not at all."""
+    k, much = at - 1, 0
+    while k > last:
+        s = lines[k].strip()
+        if attributes and (first := k if s.startswith(("#[", "#![")) else _attribute_start(lines, k) if s.endswith("]") else None) is not None and first > last:
+            k = first
         else:
-            return None
-        if lines[first][:p].strip():
-            return None
-        text = "\n".join([lines[first][p:], *lines[first + 1 : k + 1]]).strip()
-        doc = len(text) > 4 and text.startswith(("/**", "/*!")) and not text.startswith(("/***", "/**/"))
-        inner = text[3 if doc else 2 : -2]
-        body = "\n".join(re.sub(r"^\s*\*+ ?", "", x) if i else x for i, x in enumerate(inner.split("\n")))
-        return Comment(first, k, "doc" if doc else "block", body), gap
-    return None
+            much += 2 if s else 1
+        k -= 1
+    return much
+
+
+def _attributes_above(lines: list[str], at: int) -> int:
+    """The first line of the attributes right above line ``at``; ``at`` if there are none."""
+    while at:
+        s = lines[at - 1].strip()
+        first = at - 1 if s.startswith(("#[", "#![")) else _attribute_start(lines, at - 1) if s.endswith("]") else None
+        if first is None:
+            break
+        at = first
+    return at
 
 
 def _attribute_start(lines: list[str], k: int) -> int | None:
@@ -197,50 +230,80 @@ def _names(body: str, name: str) -> bool:
     return bool(name) and name in body and re.search(rf"(?<![\w$]){re.escape(name)}(?![\w$])", body) is not None
 
 
-def weight(comment: Comment, gap: int, symbol: Symbol, header: str) -> float:
-    score = 4.0 - 2.0 * gap
+def weight(comment: Comment, much: int, usable: bool, symbol: Symbol, header: str) -> float:
+    """How well a comment fits a definition; one right beside it outweighs what two others can reach."""
     tags = _PARAMS.findall(comment.body)
-    if tags:
-        score += 2.0 * sum(bool(re.search(rf"\b{re.escape(t)}\b", header)) for t in tags) / len(tags) - 0.5
+    fit = sum(bool(re.search(rf"\b{re.escape(t)}\b", header)) for t in tags) / len(tags) - 0.25 if tags else 0.0
     if _names(comment.body, symbol.name):
-        score += 1.0
+        fit += 0.5
     elif symbol.name and words_of(symbol.name) & words_of(comment.body):
-        score += 0.3
-    return score
+        fit += 0.15
+    return (4.0 if usable else 2.0) + 2 * fit if not much else max(0.05, 1.0 / much + 0.5 * fit - (0.0 if usable else 0.3))
 
 
-def assign(links: dict[tuple[int, int], float]) -> dict[int, int]:
-    """Symbol to comment with the greatest total weight, each used once at most (Hungarian method on each component)."""
+def assign(links: dict[tuple[int, int], float], solved: list[int] | None = None) -> dict[int, int]:
+    """Symbol to comment with the greatest total weight, each used once at most; ``solved`` gets the sizes of the components solved by the Hungarian method."""
     out: dict[int, int] = {}
-    partners: dict[int, list[int]] = {}
-    users: dict[int, list[int]] = {}
-    for s, c in links:
-        partners.setdefault(s, []).append(c)
-        users.setdefault(c, []).append(s)
+    of_symbol: dict[int, dict[int, float]] = {}
+    of_comment: dict[int, dict[int, float]] = {}
+    for (s, c), w in links.items():
+        of_symbol.setdefault(s, {})[c] = w
+        of_comment.setdefault(c, {})[s] = w
+    for rows, cols in list(_components(of_symbol, of_comment)):
+        if len(rows) > SMALL or len(cols) > SMALL:
+            _fix(rows, of_symbol, of_comment, out)
+    for rows, cols in _components(of_symbol, of_comment):
+        if len(rows) == 1:
+            out[rows[0]] = max(cols, key=lambda c: (links[rows[0], c], -c))
+        elif len(cols) == 1:
+            out[max(rows, key=lambda s: (links[s, cols[0]], -s))] = cols[0]
+        else:
+            out |= _hungarian(rows, cols, links)
+            if solved is not None:
+                solved.append(max(len(rows), len(cols)))
+    return out
+
+
+def _components(of_symbol: dict[int, dict[int, float]], of_comment: dict[int, dict[int, float]]) -> Iterable[tuple[list[int], list[int]]]:
+    """The symbols and comments that links connect."""
     done: set[int] = set()
-    for s0 in partners:
-        if s0 in done:
+    for s0, mine in of_symbol.items():
+        if s0 in done or not mine:
             continue
-        rows, cols, queue = [], [], [s0]
+        rows, cols, queue = [], {}, [s0]
         done.add(s0)
         while queue:
             s = queue.pop()
             rows.append(s)
-            for c in partners[s]:
+            for c in of_symbol[s]:
                 if c not in cols:
-                    cols.append(c)
-                    for t in users[c]:
-                        if t not in done:
-                            done.add(t)
-                            queue.append(t)
-        if len(rows) == 1:
-            out[s0] = max(cols, key=lambda c: links[s0, c])
-        elif len(cols) == 1:
-            best = max(sorted(rows), key=lambda s: links[s, cols[0]])
-            out[best] = cols[0]
-        else:
-            out |= _hungarian(rows, cols, links)
-    return out
+                    cols[c] = None
+                    new = [t for t in of_comment[c] if t not in done]
+                    done.update(new)
+                    queue += new
+        yield sorted(rows), sorted(cols)
+
+
+def _fix(queue: list[int], of_symbol: dict[int, dict[int, float]], of_comment: dict[int, dict[int, float]], out: dict[int, int]) -> None:
+    """Takes links out of a large component that outweigh the best others of both ends together: exchanging those for it loses nothing."""
+    while queue:
+        s = queue.pop()
+        mine = of_symbol.get(s)
+        if not mine:
+            continue
+        c = max(mine, key=lambda k: (mine[k], -k))
+        theirs = of_comment[c]
+        if mine[c] < max((w for k, w in mine.items() if k != c), default=0.0) + max((w for k, w in theirs.items() if k != s), default=0.0):
+            continue
+        out[s] = c
+        touched = set()
+        for k in of_symbol.pop(s):
+            others = of_comment[k]
+            del others[s]
+            touched |= others.keys()
+        for t in of_comment.pop(c):
+            del of_symbol[t][c]
+        queue += sorted(touched)
 
 
 def _hungarian(rows: list[int], cols: list[int], links: dict[tuple[int, int], float]) -> dict[int, int]:
@@ -294,31 +357,34 @@ def pairs(f: SourceFile) -> Iterable[tuple]:
                 lines[n - 1] = text
     ending = f.path.rsplit(".", 1)[-1].lower()
     python, go, rust = ending in ("py", "pyi"), ending == "go", ending == "rs"
-    comments: list[Comment] = []
-    index: dict[Comment, int] = {}
+    usable = {"slashes", "triple", "block", "doc"} if go else {"docstring", "triple", "doc"}
+    comments = comments_of(lines, python)
+    ends = [c.last for c in comments]
+    strings: dict[Comment, int] = {}
     links: dict[tuple[int, int], float] = {}
-    gaps: dict[tuple[int, int], int] = {}
+    beside: set[tuple[int, int]] = set()
     for k, s in enumerate(symbols):
-        if s.start > len(lines):
+        at = s.start - 1
+        if at >= len(lines):
             continue
-        if python:
-            got = (d, 0) if (d := docstring(lines, s)) else None
-        else:
-            got = comment_above(lines, s.start - 1, rust)
-        if got:
-            c, gap = got
-            i = index.setdefault(c, len(index))
+        header = "\n".join(lines[at : min(len(lines), at + 9)])
+        near = [(i, between(lines, ends[i], at, rust)) for i in range(bisect_left(ends, at - REACH), bisect_left(ends, at))]
+        if rust and near == [] and at and (first := _attributes_above(lines, at)) < at - REACH:
+            near = [(i, 0) for i in range(bisect_left(ends, first - 1), bisect_left(ends, first))]
+        if python and (own := docstring(lines, s)):
+            i = strings.setdefault(own, len(ends) + len(strings))
             if i == len(comments):
-                comments.append(c)
-            header = "\n".join(lines[s.start - 1 : min(len(lines), s.start + 8)])
-            links[k, i] = weight(c, gap, s, header) + (0.5 if _first_on_line(lines[s.start - 1], s.name) else 0.0)
-            gaps[k, i] = gap
-    usable = {"docstring", "slashes", "triple", "block", "doc"} if go else {"docstring", "triple", "doc"}
-    if go:
-        usable.discard("docstring")
+                comments.append(own)
+            near.append((i, 0))
+        for i, much in near:
+            c = comments[i]
+            fits = c.style in usable and not (python and c.style == "hash")
+            links[k, i] = weight(c, much, fits, s, header) + (0.25 if _first_on_line(lines[at], s.name) else 0.0)
+            if not much and fits:
+                beside.add((k, i))
     for k, i in sorted(assign(links).items()):
         s, c = symbols[k], comments[i]
-        if gaps[k, i] or c.style not in usable:
+        if (k, i) not in beside:
             continue
         about = description(c.body, c.style)
         if trivial(about, s.name) or (_NOTICE.search(c.body) and not _names(c.body, s.name)):

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from loamdex.llm import credentials as C
 from loamdex.llm import documenting as D
@@ -41,7 +42,26 @@ def test_documentation():
     assert found("a.js", "", ("a", 1, 1)) == [] and found("a.js", "x", ("a", 9, 1)) == []
 
 
-def test_assignment_is_optimal():
+def test_candidates_share_definitions():
+    """Comments that belong to nothing right below them are candidates of what follows, and lose to what stands beside it."""
+    js = "/** Reads the ledger in one pass. @param {string} a */\nconst x = 1;\n/** Writes the ledger in one pass. */\nfunction f(b) {}\nfunction g(a) {}\n"
+    links = []
+    assign = D.assign
+    D.assign = lambda got: links.append(got) or assign(got)
+    try:
+        assert found("a.js", js, ("f", 4, 4), ("g", 5, 5)) == ["f"]
+    finally:
+        D.assign = assign
+    assert sorted(links[0]) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    solved = []
+    assert D.assign(links[0], solved) == {0: 1, 1: 0} and solved == [2]
+    assert found("a.rs", "/// Moves the pieces around on the board.\n" + "#[cfg(x)]\n" * 9 + "fn f() {}", ("f", 11, 11)) == ["f"]
+    assert found("a.js", "/* not closed\nfunction e() {}\n/** Says what this does here. */\nfunction f() {}", ("f", 4, 4)) == []
+
+
+@pytest.mark.parametrize("small", [1, D.SMALL])
+def test_assignment_is_optimal(small, monkeypatch):
+    monkeypatch.setattr(D, "SMALL", small)
     r = random.Random(5)
     for _ in range(60):
         n, m = r.randrange(1, 5), r.randrange(1, 5)
