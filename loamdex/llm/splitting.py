@@ -3,7 +3,7 @@
 ``split_text`` places balanced targets: the least number of pieces that can
 hold the text gives equal-length targets, each of which snaps to the strongest
 boundary near it; when a piece is over the limit, its overlap included, one more
-piece is tried. Defined results:
+piece is tried (beyond 512 pieces, one more in 256). Defined results:
 
 * a text within the limit is one piece; a null or empty text has no piece;
 * every piece has at most ``limit`` characters (code points) and the pieces,
@@ -141,24 +141,20 @@ def split_text(text: str, limit: int, overlap_lines: int = 0) -> list[tuple[int,
     count = -(-n // limit)
     while True:
         step = n / count
-        cuts, ok = [], True
-        low = 0
-        for j in range(1, count):
-            cut = _snap(text, j * step, low + 1, n - (count - j), at, strength, max(1.0, NEAR * step))
-            cuts.append(cut)
-            low = cut
+        cuts: list[int] = []
         begin = 0
-        for end in [*cuts, n]:
-            first = _overlap_from(starts, begin, overlap_lines, limit // 2) if begin else 0
-            if end - first > limit:
-                ok = False
+        for j in range(1, count + 1):  # stops at the first piece over the limit
+            end = _snap(text, j * step, begin + 1, n - (count - j), at, strength, max(1.0, NEAR * step)) if j < count else n
+            if end - (_overlap_from(starts, begin, overlap_lines, limit // 2) if begin else 0) > limit:
                 break
+            cuts.append(end)
             begin = end
-        if ok:
+        if len(cuts) == count:
+            cuts.pop()
             return _with_overlaps(text, limit, overlap_lines, [*cuts, n], at, strength)
         if count >= n:  # one character a piece: only overlaps can be in the way
             return _with_overlaps(text, limit, overlap_lines, [*range(limit, n, limit), n], at, strength)
-        count = min(n, count + max(1, count // 16))
+        count = min(n, count + max(1, count // 256))
 
 
 def pieces_of(preview: str, start_line: int | None, end_line: int | None, limit: int | None, overlap: int | None) -> Iterator[tuple]:
