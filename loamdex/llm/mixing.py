@@ -11,7 +11,8 @@ document appears floor or ceil of its expectation.
 
 Documents stand in order of size (in quarter octaves), then of a hash of their
 id, so that each size is sampled at the same rate and the shares come out close.
-They are not summed in one task: size and hash deal them to buckets, buckets are
+They are not summed in one task: size and hash deal them to buckets of about
+``BUCKET_ROWS`` documents, as many as a size of a source needs, buckets are
 summed apart, and the sums of the buckets before
 it shift each bucket. Ties of the hash are ordered by id.
 
@@ -27,8 +28,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of each size grade of a source.
-BUCKETS = 64
+from loamdex.tables import materialize
+
+#: Documents of a bucket, about.
+BUCKET_ROWS = 20_000
 
 
 def plan(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -50,26 +53,27 @@ def plan(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     return rows.withColumn("copies", F.when(usable, F.least(F.col("share") * F.col("total") / F.col("source_tokens"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0)))
 
 
-def mix(counts: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: int | None = None, key: str = "doc_id") -> DataFrame:
-    """(source, key, tokens, copies_expected, copies) of each used document."""
-    goal = plan(counts, targets, total_tokens).where(F.col("copies") > 0).select("source", F.col("copies").alias("copies_expected"), "max_repeats")
+def mix(counts: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: int | None = None, key: str = "doc_id", planned: DataFrame | None = None) -> DataFrame:
+    """(source, key, tokens, copies_expected, copies) of each used document; ``planned`` is a ``plan`` already made."""
+    goal = (plan(counts, targets, total_tokens) if planned is None else planned).where(F.col("copies") > 0).select("source", F.col("copies").alias("copies_expected"), "max_repeats")
     rows = counts.where((F.col("tokens") > 0) & F.col("source").isNotNull()).select("source", F.col(key), "tokens").dropDuplicates(["source", key])
-    mark = F.xxhash64(F.col(key), F.lit(seed))
-    grade = F.floor(F.log2("tokens") * 4).cast("int")
-    rows = rows.withColumn("_bucket", grade * BUCKETS + F.pmod(F.shiftright(mark, 20), F.lit(BUCKETS)).cast("int")).withColumn("_mark", mark)
-    sizes = rows.groupBy("source", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(F.broadcast(goal), "source")  # a row a listed source
+    rows = rows.withColumn("_mark", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_grade", F.floor(F.log2("tokens") * 4).cast("int"))
+    # Listed sources by quarter octaves of size: a few hundred rows at any number of documents.
+    grades = rows.groupBy("source", "_grade").agg(F.ceil(F.count("*") / F.lit(BUCKET_ROWS)).alias("_buckets"))
+    rows = rows.join(F.broadcast(grades), ["source", "_grade"]).withColumn("_bucket", F.pmod(F.shiftright("_mark", 20), F.col("_buckets")))
+    sizes = rows.groupBy("source", "_grade", "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("source").orderBy("_grade", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_mark", key)
+    inside = Window.partitionBy("source", "_grade", "_bucket").orderBy("_mark", key)
     rank = F.row_number().over(inside) - 1
-    placed = rows.withColumn("_rank", rank).join(shifts, ["source", "_bucket"]).withColumn("_place", F.col("_rank") + F.col("_before"))
+    placed = rows.withColumn("_rank", rank).join(shifts, ["source", "_grade", "_bucket"]).withColumn("_place", F.col("_rank") + F.col("_before"))
     # One offset in [0, 1) a source, from the seed and the source's name.
     offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     low = F.floor(F.col("_place") * F.col("copies_expected") + offset)
     high = F.floor((F.col("_place") + 1) * F.col("copies_expected") + offset)
     return (
-        placed.join(F.broadcast(goal), "source")
-        .withColumn("copies", F.least(high - low, F.col("max_repeats").cast("bigint")).cast("int"))
+        placed.withColumn("copies", F.least(high - low, F.col("max_repeats").cast("bigint")).cast("int"))
         .where(F.col("copies") > 0)
         .select("source", key, "tokens", "copies_expected", "copies")
     )
@@ -77,10 +81,11 @@ def mix(counts: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: int
 
 def report(counts: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: int | None = None, key: str = "doc_id") -> DataFrame:
     """Target and actual share, tokens and repeats of each listed source."""
-    used = mix(counts, targets, seed, total_tokens, key).groupBy("source").agg(
+    planned = materialize(plan(counts, targets, total_tokens), "p8-plan")
+    used = mix(counts, targets, seed, total_tokens, key, planned).groupBy("source").agg(
         F.count("*").alias("documents_used"), F.sum("copies").alias("copies_used"), F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_repeats")
     )
-    rows = plan(counts, targets, total_tokens).join(used, "source", "left").fillna(0, ["documents_used", "copies_used", "mixed_tokens", "most_repeats"])
+    rows = planned.join(used, "source", "left").fillna(0, ["documents_used", "copies_used", "mixed_tokens", "most_repeats"])
     whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))
     return rows.select(
         "source", "target_share", F.col("share").alias("reachable_share"), F.when(whole > 0, F.col("mixed_tokens") / whole).otherwise(F.lit(0.0)).alias("actual_share"),
