@@ -249,15 +249,33 @@ def _positions(text: str) -> list[int]:
     return [m.start() for m in _LEGACY_MARK.finditer(text)]
 
 
-def _keys(near: str) -> tuple[str, str]:
-    """The keys of a character between its neighbours: '<' with the left one, '>' with the right one."""
-    return "<" + _side(near[0]) + near[1], ">" + near[1] + _side(near[2])
+class _Remembered(dict):
+    """What a function says of three characters, worked out once (tables of bounded size)."""
+
+    def __init__(self, work: Callable[[str], object]):
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, near: str):
+        if len(self) >= _KEPT:
+            self.clear()
+        got = self[near] = self.work(near)
+        return got
+
+
+def nears(text: str) -> set[str]:
+    """Each character that legacy code pages have, between its neighbours."""
+    padded = f" {text} "
+    return {padded[i : i + 3] for i in _positions(text)}
+
+
+#: The keys of a character between its neighbours: '<' with the left one, '>' with the right one.
+_KEYS = _Remembered(lambda near: ("<" + _side(near[0]) + near[1], ">" + near[1] + _side(near[2])))
 
 
 def neighbours(text: str) -> set[str]:
     """The keys of all characters of ``text`` that legacy code pages have."""
-    padded = f" {text} "
-    return {k for near in {padded[i : i + 3] for i in _positions(text)} for k in _keys(near)}
+    return {k for near in nears(text) for k in _KEYS[near]}
 
 
 #: Letters beyond ASCII of the languages of each script.
@@ -278,25 +296,31 @@ def _script(c: str) -> str:
     return "greek" if 0x370 <= o < 0x400 else "cyrillic" if 0x400 <= o < 0x530 else "latin" if o < 0x250 or 0x1E00 <= o < 0x1F00 else ""
 
 
+def _order(near: str) -> tuple[str, str] | None:
+    """(script, small letter) of a middle letter, two empty strings for a sign; None if it stands in disorder."""
+    left, c, right = near
+    if c in "ªº" or not c.isalpha():
+        return None if (c not in _JOINING and left.isalpha() and right.isalpha()) or "\x80" <= c < "\xa0" else ("", "")
+    script = _script(c)
+    if left.isalpha() and (_script(left) != script or (c.isupper() and left.islower())):
+        return None
+    if right.isalpha() and _script(right) != script:
+        return None
+    return script, c.lower()
+
+
+_ORDER = _Remembered(_order)
+
+
 def orderly(text: str) -> bool:
     """Whether letters fit an alphabet of their script, no word mixes scripts or has capitals after small letters, and no sign parts a word."""
     letters: dict[str, set[str]] = {}
-    n = len(text)
-    for i in _positions(text):
-        c = text[i]
-        left, right = text[i - 1] if i else " ", text[i + 1] if i + 1 < n else " "
-        if c in "ªº" or not c.isalpha():
-            if c not in _JOINING and left.isalpha() and right.isalpha():
-                return False
-            if "\x80" <= c < "\xa0":
-                return False
-            continue
-        script = _script(c)
-        if left.isalpha() and (_script(left) != script or (c.isupper() and left.islower())):
-            return False
-        if right.isalpha() and _script(right) != script:
+    for near in nears(text):
+        got = _ORDER[near]
+        if got is None:
             return False
-        letters.setdefault(script, set()).update(c.lower())
+        if got[0] or got[1]:
+            letters.setdefault(got[0], set()).update(got[1])
     return all(any(have <= x for x in _ALPHABETS.get(script, ())) for script, have in letters.items())
 
 
@@ -306,7 +330,9 @@ class SingleByte:
     def __init__(self, counts: dict[str, tuple[int, int]], texts: int):
         self.counts = counts
         self.weak = max(2.0, WEAK * texts)
-        self.known: dict[str, tuple | None] = {}
+        self.effects = _Remembered(self._effect)
+        self.intact: set[str] = set()
+        self.becomes: dict[str, dict[str, list[int]]] = {}
         self.readings: list[tuple[str, str, dict[int, str]]] = []
         pages = {n: _page(n) for n in SINGLE}
         for wrong in SINGLE:
@@ -319,45 +345,64 @@ class SingleByte:
 
     def usual(self, near: str) -> tuple[int, int]:
         """(texts, documents) that have the middle character beside its neighbours."""
-        left, right = (self.counts.get(k, (0, 0)) for k in _keys(near))
+        left, right = _KEYS[near]
+        left, right = self.counts.get(left, (0, 0)), self.counts.get(right, (0, 0))
         return min(left[0], right[0]), min(left[1], right[1])
 
-    def effect(self, near: str) -> tuple[int, list[tuple[int, int, bool, int]]] | None:
+    def _effect(self, near: str) -> tuple[int, list[tuple[int, int, bool, int]]] | None:
         """What other readings make of the middle character: how usual it is, then (reading, better, sure, worse) of each; None if it is usual."""
-        if near in self.known:
-            return self.known[near]
         u = self.usual(near)[0]
-        out = None
-        if near[1] != "�" and u <= self.weak:
-            said = []
+        if near[1] == "�" or u > self.weak:
+            return None
+        said = []
+        for other, readings in self._others(near):
+            v, documents = self.usual(other) if other[1] > "\x7f" else (0, 0)
+            if documents >= LEAST and v >= GAIN * u:
+                sure = v >= max(STRONG, ALONE * (u - 1)) and near[1] not in _JOINING and other[1].isalpha() and not (other[1].islower() and other[2].isupper())
+                said += [(k, 1, sure, 0) for k in readings]
+            elif v < u:
+                said += [(k, 0, False, 1) for k in readings]
+        return u, said
+
+    def _others(self, near: str) -> list[tuple[str, list[int]]]:
+        """What the three characters become, and by which readings, where the middle one changes."""
+        c = near[1]
+        if c not in self.becomes:
+            groups: dict[str, list[int]] = {}
             for k, (_, _, table) in enumerate(self.readings):
-                other = near.translate(table)
-                if other[1] == near[1]:
-                    continue
-                v, documents = self.usual(other) if other[1] > "\x7f" else (0, 0)
-                if documents >= LEAST and v >= GAIN * u:
-                    sure = v >= max(STRONG, ALONE * (u - 1)) and near[1] not in _JOINING and other[1].isalpha() and not (other[1].islower() and other[2].isupper())
-                    said.append((k, 1, sure, 0))
-                elif v < u:
-                    said.append((k, 0, False, 1))
-            out = (u, said)
-        if len(self.known) >= _KEPT:
-            self.known.clear()
-        self.known[near] = out
-        return out
+                if ord(c) in table:
+                    groups.setdefault(table[ord(c)], []).append(k)
+            self.becomes[c] = groups
+        if near[0] < "\x80" and near[2] < "\x80":
+            return [(near[0] + other + near[2], readings) for other, readings in self.becomes[c].items()]
+        whole: dict[str, list[int]] = {}
+        for readings in self.becomes[c].values():
+            for k in readings:
+                whole.setdefault(near.translate(self.readings[k][2]), []).append(k)
+        return list(whole.items())
 
     def restore(self, text: str, alone: bool = True) -> tuple[str, str, int] | None:
         """(text, 'wrong>right', characters changed), if another reading is far more usual; ``alone``: of one character, too."""
+        left = nears(text) - self.intact
+        for near in [x for x in left if self.effects[x] is None]:
+            left.remove(near)
+            if len(self.intact) >= _KEPT:
+                self.intact.clear()
+            self.intact.add(near)
+        if not left:
+            return None
         padded = f" {text} "
         rare: dict[int, int] = {}
         sums: dict[int, list[int]] = {}
         for i in _positions(text):
-            got = self.effect(padded[i : i + 3])
-            if got is None or _quoted(text, i, i + 1):
+            near = padded[i : i + 3]
+            if near not in left or _quoted(text, i, i + 1):
                 continue
-            rare[i] = got[0]
-            for k, better, sure, worse in got[1]:
-                s = sums.setdefault(k, [0, 0, 0])
+            rare[i], said = self.effects[near]
+            for k, better, sure, worse in said:
+                s = sums.get(k)
+                if s is None:
+                    s = sums[k] = [0, 0, 0]
                 s[0] += better
                 s[1] += sure
                 s[2] += worse
