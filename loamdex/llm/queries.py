@@ -42,6 +42,10 @@ def p4_shared(spark: SparkSession, d: str) -> DataFrame:
     return sharedspans.Shared(read_table(spark, d, "lines_fts")).coverage()
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    return sharedspans.Shared(read_table(spark, d, "lines_fts")).links()
+
+
 def p5_parsed(spark: SparkSession, d: str) -> DataFrame:
     return parsing.parsed(read_table(spark, d, "files"), read_table(spark, d, "lines_fts"))
 

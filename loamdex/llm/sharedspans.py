@@ -195,19 +195,31 @@ def _runs(numbers: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def bucket_rows(group: list[tuple[bytes, str, str, str]], span: int) -> Iterator[tuple]:
-    """(class, string, first, last) of the windows that strings of different texts share.
+    """(class, string, first, last) of the windows that strings of different texts share: all windows are sorted, equal ones stand together.
 
     ``group``: (id, string, least owner, greatest owner) of the different strings of a minimiser.
     """
-    seen: dict[bytes, list[tuple[int, int]]] = {}
-    for k, (_, string, _, _) in enumerate(group):
-        for i, w in enumerate(_windows(string, span)):
-            seen.setdefault(w, []).append((k, i))
+    if len(group) < 2:
+        return
+    digests = [_windows(string, span) for _, string, _, _ in group]
+    lengths = np.array([len(d) for d in digests])
+    halves = np.frombuffer(b"".join(w for d in digests for w in d), "<u8").reshape(-1, 2)
+    who = np.repeat(np.arange(len(group)), lengths)
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
+    keys = halves[order]
+    starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+    who = who[order]
+    several = np.flatnonzero(np.minimum.reduceat(who, starts) != np.maximum.reduceat(who, starts))
+    if not len(several):
+        return
+    place = (np.arange(len(order)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[order]
+    ends = np.append(starts[1:], len(order))
     classes: dict[tuple[int, ...], dict[int, list[int]]] = {}
-    for where in seen.values():
-        members = sorted({k for k, _ in where})
-        if len(members) > 1 and min(group[k][2] for k in members) != max(group[k][3] for k in members):
-            offsets = classes.setdefault(tuple(members), {})
+    for r in several.tolist():
+        where = list(zip(who[starts[r] : ends[r]].tolist(), place[starts[r] : ends[r]].tolist()))
+        members = tuple(sorted({k for k, _ in where}))
+        if min(group[k][2] for k in members) != max(group[k][3] for k in members):
+            offsets = classes.setdefault(members, {})
             for k, i in where:
                 offsets.setdefault(k, []).append(i)
     for members, offsets in classes.items():
@@ -302,13 +314,21 @@ class Shared:
         many = windows.groupBy("window").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.min("string").alias("s"), F.max("string").alias("t")).where("a <> b and s <> t").select("window")
         return windows.join(many, "window").select(F.col("window").alias("class"), "string", F.col("at").alias("first"), F.col("at").alias("last"))
 
+    def _linked(self) -> DataFrame:
+        """(a, b): every pair of different texts with a common span, a < b.
+
+        Classes with the same texts say the same; they are told by the number and two
+        sums of hashes of their texts, so that no task gathers the texts of a class.
+        """
+        members = materialize(self.shared.select("class", "string").distinct().join(self.owners.select("string", "text").distinct(), "string").select("class", "text").distinct(), "p4-members")
+        marks = [F.bit_xor(F.xxhash64(F.lit(seed), "text")).alias(f"m{seed}") for seed in (1, 2)]
+        kept = members.groupBy("class").agg(F.count("*").alias("n"), *marks).groupBy("n", "m1", "m2").agg(F.min("class").alias("class")).select("class")
+        of = members.join(kept, "class")
+        return of.select("class", F.col("text").alias("a")).join(of.select("class", F.col("text").alias("b")), "class").where("a < b").select("a", "b").distinct()
+
     def pairs(self) -> DataFrame:
         """(path_a, path_b): every pair of files with a common span, once."""
-        members = self.shared.select("class", "string").distinct().join(self.owners.select("string", "text").distinct(), "string").select("class", "text").distinct()
-        # Classes with the same texts say the same; one of each is enough.
-        groups = members.groupBy("class").agg(F.array_sort(F.collect_set("text")).alias("texts")).select("texts").distinct()
-        one = groups.select(F.explode("texts").alias("text"), "texts")
-        linked = one.select(F.col("text").alias("a"), F.explode("texts").alias("b")).where("a < b").distinct()
+        linked = self._linked()
         who = self.files.where(F.col("chars") >= self.span).join(self.copies, "digest").select("path", "text", "copies")
         of = who.select("path", "text")
         across = linked.join(of.select(F.col("text").alias("a"), F.col("path").alias("p")), "a").join(of.select(F.col("text").alias("b"), F.col("path").alias("q")), "b").select("p", "q")
@@ -316,6 +336,13 @@ class Shared:
         within = several.select("text", F.col("path").alias("p")).join(several.select("text", F.col("path").alias("q")), "text").where("p < q").select("p", "q")
         return across.unionByName(within).select(F.least("p", "q").alias("path_a"), F.greatest("p", "q").alias("path_b")).distinct()
 
+    def links(self) -> DataFrame:
+        """(path, class, copies, links): the class of equal texts each file is in, by its first path, how many files that class has, and with how many other texts it shares a span."""
+        linked = self._linked()
+        both = linked.select(F.explode(F.array("a", "b")).alias("text")).groupBy("text").agg(F.count("*").alias("links"))
+        rows = self.files.join(self.copies, "digest", "left").join(both, "text", "left")
+        return rows.select("path", F.coalesce("text", "path").alias("class"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
+
     def coverage(self) -> DataFrame:
         """(path, chars, shared_chars, copies): how much of each file stands in others."""
         spans = self.shared.join(self.owners, "string").select("text", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + self.span).alias("b")).distinct()

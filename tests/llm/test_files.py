@@ -186,6 +186,9 @@ def test_shared_spans(spark, monkeypatch):
     monkeypatch.setattr(H, "BUCKET", 2)
     s = H.Shared(lines)
     assert {tuple(x) for x in s.pairs().collect()} == want
+    links = {x["path"]: x for x in s.links().collect()}
+    for p, t in files.items():
+        assert links[p]["links"] == len({files[q] for pair in want if p in pair for q in pair if files[q] != t}) and links[p]["copies"] == (sum(u == t for u in files.values()) if len(t) >= H.SPAN else 1), p
     cover = {x["path"]: x for x in s.coverage().collect()}
     for p, t in files.items():
         hit = np.zeros(len(t), bool)
