@@ -6,19 +6,33 @@ import argparse
 import os
 import sys
 
+from loamdex.settings import Settings, embedder
 from loamdex.sources import registry
 
 
-def parser() -> argparse.ArgumentParser:
+def parser(s: Settings | None = None) -> argparse.ArgumentParser:
+    s = s or Settings.load()
     p = argparse.ArgumentParser(prog="loamdex", description=__doc__)
-    p.add_argument("--registry", default=os.path.expanduser("~/.config/loamdex/services.toml"))
-    p.add_argument("--index", default=os.path.expanduser("~/.cache/loamdex"))
-    p.add_argument("--embed", action="store_true", help="keep the vector layer with the offline embedder")
+    p.add_argument("--registry", default=s.registry)
+    p.add_argument("--index", default=s.index_folder)
+    p.add_argument("--status", dest="status_folder", default=s.status_folder)
+    p.add_argument("--no-embed", action="store_true", help="leave the vector layer out")
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("index", "index-all", "stats", "stats-all", "services", "list"):
         c = sub.add_parser(name)
         c.add_argument("--service")
         c.add_argument("--full", action="store_true")
+        c.add_argument("--background", action="store_true")
+    sub.add_parser("status")
+    sub.add_parser("serve")
+    c = sub.add_parser("web")
+    c.add_argument("--host", default="127.0.0.1")
+    c.add_argument("--port", type=int, default=8765)
+    c = sub.add_parser("watch")
+    c.add_argument("--interval", type=float, default=600.0, help="seconds between sweeps")
+    c.add_argument("--debounce", type=float, default=3.0, help="seconds after a change")
+    c.add_argument("--no-periodic", action="store_true", help="no sweeps")
+    c.add_argument("--warm-interval", type=float, default=s.warm_interval, help="seconds between calls that keep the embedder warm; 0 for none")
     c = sub.add_parser("add")
     c.add_argument("path")
     c.add_argument("--name")
@@ -47,31 +61,56 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
-    a = parser().parse_args(argv)
+    argv = sys.argv[1:] if argv is None else argv
+    settings = Settings.load()
+    a = parser(settings).parse_args(argv)
     if a.command == "add":
         registry.add_service(a.registry, a.name or os.path.basename(os.path.realpath(a.path)), os.path.realpath(a.path), tuple(a.ignore))
         return 0
     if a.command == "add-workspace":
         registry.add_workspace(a.registry, os.path.realpath(a.path), a.depth)
         return 0
+    if a.command == "index" and a.background:
+        from loamdex.jobs import detached
+
+        print(f"started in background (pid {detached([x for x in argv if x != '--background'])})")
+        return 0
     from pyspark.sql import SparkSession
 
     from loamdex.engine import Engine
-    from loamdex.operators.embed import HashEmbedder
 
     spark = SparkSession.builder.appName("loamdex").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        engine = Engine(spark, f"file://{os.path.realpath(a.index)}", registry.load(a.registry, strict=True), (lambda: HashEmbedder(256)) if a.embed else None)
-        print(answer(engine, a))
+        index = a.index if "://" in a.index else f"file://{os.path.realpath(os.path.expanduser(a.index))}"
+        engine = Engine(spark, index, registry.load(a.registry, strict=True), None if a.no_embed else embedder(settings), status=a.status_folder)
+        if a.command == "serve":
+            from loamdex.service import Tools, log_to_file, serve_lines
+
+            log_to_file(settings)
+            serve_lines(Tools(engine, settings.slow_tool_seconds))
+        elif a.command == "web":
+            from loamdex.service import http_server
+
+            http_server(engine, a.host, a.port).serve_forever()
+        elif a.command == "watch":
+            from loamdex.streaming.watch import Daemon
+
+            Daemon(engine, a.interval, a.debounce, not a.no_periodic, a.warm_interval).run()
+        else:
+            print(answer(engine, a))
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2
+    except KeyboardInterrupt:
+        pass
     return 0
 
 
 def answer(engine, a: argparse.Namespace) -> str:
     if a.command in ("services", "list"):
         return engine.list_services()
+    if a.command == "status":
+        return engine.status_table()
     if a.command in ("index", "stats"):
         return str(engine.reindex(a.service, a.full)) if a.command == "index" else engine.index_stats(a.service)
     if a.command in ("index-all", "stats-all"):

@@ -74,9 +74,9 @@ def parsed(body: bytes | str, wanted: int) -> list[list[float]]:
 class ServiceEmbedder:
     """Batches texts to a service in parallel, tries again, and remembers queries."""
 
-    def __init__(self, url: str, model: str, key: str = "", batch: int = 64, parallel: int = 6, retries: int = 3, timeout: float = 120.0, search_timeout: float = 45.0, remember: int = 256, post: Callable[[dict, float], bytes] | None = None, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, url: str, model: str, key: str = "", batch: int = 64, parallel: int = 6, retries: int = 3, timeout: float = 120.0, search_timeout: float = 45.0, search_retries: int = 0, remember: int = 256, post: Callable[[dict, float], bytes] | None = None, sleep: Callable[[float], None] = time.sleep):
         self.url, self.model, self.key, self.batch, self.parallel, self.retries = url, model, key, batch, parallel, retries
-        self.timeout, self.search_timeout, self.remember, self.sleep = timeout, search_timeout, remember, sleep
+        self.timeout, self.search_timeout, self.search_retries, self.remember, self.sleep = timeout, search_timeout, search_retries, remember, sleep
         self.post = post or self._post
         self.known: OrderedDict[str, list[float]] = OrderedDict()
 
@@ -104,7 +104,7 @@ class ServiceEmbedder:
         if text in self.known:
             self.known.move_to_end(text)
             return self.known[text]
-        vector = self._try([text], 0, self.search_timeout, 2.0)[0]
+        vector = self._try([text], self.search_retries, self.search_timeout, 2.0)[0]
         self.known[text] = vector
         while len(self.known) > self.remember:
             self.known.popitem(last=False)

@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from loamdex.functions.fixed import BM25_B, BM25_K1, BM25_LEAST_IDF, OVERFETCH
 from loamdex.functions.globs import path_filter
 from loamdex.functions.text import tokens
-from loamdex.operators.ftsquery import Near, Node, Nothing, Phrase, understood
+from loamdex.operators.ftsquery import Near, Nothing, Phrase, understood
 
 
 def tokenized(lines: DataFrame) -> DataFrame:
@@ -195,38 +195,3 @@ def search(lines: DataFrame, text: str, limit: int = 30, include: str | Iterable
     if parity and (include or exclude):
         return rows.orderBy(*order).limit(limit * OVERFETCH).where(keep).orderBy(*order).limit(limit)
     return rows.where(keep).orderBy(*order).limit(limit)
-
-
-def postings(lines: DataFrame) -> DataFrame:
-    """The inverted index: (token, path, line, tf, positions, dl), one row a token and line."""
-    have = lines if "tokens" in lines.columns else tokenized(lines)
-    return (
-        have.select("path", "line", "dl", F.posexplode("tokens").alias("pos", "token"))
-        .groupBy("token", "path", "line", "dl").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    )
-
-
-def _positive(node) -> list[Phrase] | None:
-    """Phrases of which every match holds at least one; None if only a scan can tell."""
-    if isinstance(node, Near):
-        return [min(node.phrases, key=lambda p: -max(map(len, p.tokens)))]
-    if isinstance(node, Node):
-        left = _positive(node.left)
-        if node.kind == "not":
-            return left
-        right = _positive(node.right)
-        if node.kind == "or":
-            return None if left is None or right is None else left + right
-        return left if right is None else right if left is None else min(left, right, key=len)
-    return None
-
-
-def candidates(index: DataFrame, lines: DataFrame, text: str) -> DataFrame:
-    """The tokenized lines that can match, through the postings (bucket or sort them by token)."""
-    phrases = _positive(understood(text))
-    if phrases is None:
-        return lines
-    wanted = F.lit(False)
-    for p in phrases:
-        wanted = wanted | (F.col("token").startswith(p.tokens[-1]) if p.prefix and len(p.tokens) == 1 else F.col("token") == p.tokens[0])
-    return lines.join(index.where(wanted).select("path", "line").distinct(), ["path", "line"], "left_semi")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.operators import fulltext, symbols, vectors
+from loamdex.operators.textindex import TextIndex
 
 SECTIONS = ("Symbols", "Text", "Semantic")
 
@@ -28,7 +29,7 @@ def _section(rows: DataFrame, name: str, order: list, start: str, end: str, labe
 
 
 def search(
-    lines: DataFrame, symbol_rows: DataFrame, text: str, limit: int = 8, points: DataFrame | None = None, query_vector: Sequence[float] | None = None, threshold: float = 0.0,
+    lines: DataFrame | TextIndex, symbol_rows: DataFrame, text: str, limit: int = 8, points: DataFrame | None = None, query_vector: Sequence[float] | None = None, threshold: float = 0.0,
     include: str | Iterable[str] | None = None, exclude: str | Iterable[str] | None = None,
 ) -> DataFrame:
     """Every layer's ``limit`` best, one after the other; nothing is merged or ranked anew.
@@ -36,7 +37,7 @@ def search(
     The order within a section is numbered over at most ``limit`` rows.
     """
     by_name = symbols.search(symbol_rows, text, limit, include=include, exclude=exclude)
-    by_text = fulltext.search(lines, text, limit, include, exclude)
+    by_text = lines.search(text, limit, include, exclude) if isinstance(lines, TextIndex) else fulltext.search(lines, text, limit, include, exclude)
     out = _section(by_name, "Symbols", [F.length("name"), "path", "start_line", "name", "kind"], "start_line", "end_line", F.concat_ws(" ", "kind", "name"), F.lit(None))
     out = out.unionByName(_section(by_text, "Text", ["score", "path", "line"], "line", "line", F.col("content"), F.col("score")))
     if points is not None and query_vector is not None:

@@ -1,18 +1,23 @@
 """Keeping an index current: differences, upserts, deletes, snapshots and counts.
 
-Tables are Parquet snapshots. A change writes the next snapshot and then moves a
-pointer to it, so readers always see a whole one and a lost executor loses nothing.
+Tables are Parquet files by bucket of the path. A change writes the buckets it
+touches and then a manifest that names the files of every bucket, so readers always
+see a whole snapshot, a lost executor loses nothing, and a changed file rewrites its
+bucket only.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import uuid
+from collections.abc import Iterable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from loamdex.tables import Files
 
 
 def current(files: DataFrame) -> DataFrame:
@@ -72,45 +77,94 @@ def report(scanned: DataFrame, known: DataFrame, symbols: DataFrame) -> DataFram
 
 
 class Snapshot(NamedTuple):
-    version: str
+    version: int
     tables: dict[str, DataFrame]
 
 
-class Store:
-    """Snapshots of named tables under a folder that all executors share."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+def bucket_of(path: str = "path", buckets: int = 64):
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
-    def _pointer(self) -> str:
-        return os.path.join(self.folder.removeprefix("file://"), "CURRENT")
 
-    def version(self) -> str | None:
-        try:
-            with open(self._pointer(), encoding="utf-8") as f:
-                return json.load(f)["version"]
-        except (OSError, ValueError, KeyError):
-            return None
-
-    def read(self, version: str | None = None) -> Snapshot | None:
-        """A pinned snapshot; None before the first commit."""
-        version = version or self.version()
-        if version is None:
+class Store:
+    """Snapshots of named tables with a ``path`` column, under a folder of any file system Spark knows.
+
+    Manifests are numbered; the greatest readable one is current. Creating one fails
+    if another writer was first. ``buckets`` is fixed by the first commit; ``kept``
+    manifests and their files stay for readers, older ones are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, kept: int = 3):
+        self.spark, self.folder, self.kept = spark, folder.rstrip("/"), kept
+        self.files = Files(spark, self.folder)
+        have = self.manifest()
+        self.buckets = have["buckets"] if have else buckets
+
+    def _numbers(self) -> list[int]:
+        names = self.files.names(f"{self.folder}/manifests")
+        return sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
+
+    def manifest(self, version: int | None = None) -> dict | None:
+        for n in self._numbers() if version is None else [version]:
+            try:
+                return {"version": n, **json.loads(self.files.text(f"{self.folder}/manifests/{n}.json"))}
+            except ValueError:  # being written, or left half written by a writer that died
+                continue
+        return None
+
+    def version(self) -> int | None:
+        have = self.manifest()
+        return have and have["version"]
+
+    def read(self, version: int | None = None, buckets: Iterable[int] | None = None) -> Snapshot | None:
+        """A pinned snapshot, or the part of it in some buckets; None before the first commit."""
+        have = self.manifest(version)
+        if have is None:
             return None
-        root = f"{self.folder}/{version}"
-        names = sorted(os.listdir(root.removeprefix("file://")))
-        return Snapshot(version, {n: self.spark.read.parquet(f"{root}/{n}") for n in names})
-
-    def commit(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> str:
-        """Writes a new snapshot, then moves the pointer to it at once."""
-        version = f"v-{uuid.uuid4().hex}"
+        some = None if buckets is None else {str(b) for b in buckets}
+        tables = {}
+        for name, t in have["tables"].items():
+            schema = StructType.fromJson(t["schema"])
+            folders = [f"{self.folder}/data/{f}" for b, f in sorted(t["folders"].items()) if some is None or b in some]
+            tables[name] = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        return Snapshot(have["version"], tables)
+
+    def touched(self, paths: DataFrame) -> list[int]:
+        """The buckets of some paths: at most as many numbers as there are buckets."""
+        return sorted(r[0] for r in paths.select(bucket_of("path", self.buckets)).distinct().collect())
+
+    def commit(self, tables: dict[str, DataFrame], touched: Iterable[int] | None = None, order: dict[str, list[str]] | None = None) -> int:
+        """Writes the rows of the touched buckets (all if None) and a manifest of them and of what stays.
+
+        ``tables`` has all rows of the touched buckets; rows of others are left out.
+        """
+        before = self.manifest()
+        some = None if touched is None else sorted(set(touched))
+        manifest: dict = {"buckets": self.buckets, "tables": {}}
         for name, df in tables.items():
-            writer = df.write
-            if partition_by and name in partition_by:
-                writer = writer.partitionBy(*partition_by[name])
-            writer.parquet(f"{self.folder}/{version}/{name}")
-        new = f"{self._pointer()}.{uuid.uuid4().hex}"
-        with open(new, "w", encoding="utf-8") as f:
-            json.dump({"version": version}, f)
-        os.replace(new, self._pointer())
-        return version
+            folder = f"{name}-{uuid.uuid4().hex}"
+            rows = df.withColumn("_bucket", bucket_of("path", self.buckets))
+            if some is not None:
+                rows = rows.where(F.col("_bucket").isin(some))
+            rows.repartition("_bucket").sortWithinPartitions("_bucket", *(order or {}).get(name, ["path"])).write.partitionBy("_bucket").parquet(f"{self.folder}/data/{folder}")
+            old = before["tables"].get(name, {}).get("folders", {}) if before and some is not None else {}
+            stays = {b: f for b, f in old.items() if int(b) not in (some or ())}
+            new = {n.removeprefix("_bucket="): f"{folder}/{n}" for n in self.files.names(f"{self.folder}/data/{folder}") if n.startswith("_bucket=")}
+            manifest["tables"][name] = {"schema": json.loads(df.schema.json()), "folders": stays | new}
+        number = max(self._numbers(), default=0) + 1
+        self.files.create(f"{self.folder}/manifests/{number}.json", json.dumps(manifest))
+        self.vacuum()
+        return number
+
+    def vacuum(self) -> None:
+        """Deletes manifests but for the last ``kept``, and files that none of those names."""
+        numbers = self._numbers()
+        used = set()
+        for n in numbers[: self.kept]:
+            have = self.manifest(n)
+            used |= {f.split("/")[0] for t in (have or {"tables": {}})["tables"].values() for f in t["folders"].values()}
+        for n in numbers[self.kept :]:
+            self.files.delete(f"{self.folder}/manifests/{n}.json")
+        if len(numbers) > self.kept:
+            for name in self.files.names(f"{self.folder}/data"):
+                if name not in used and self.files.age(f"{self.folder}/data/{name}") > 3600:
+                    self.files.delete(f"{self.folder}/data/{name}")

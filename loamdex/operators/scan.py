@@ -58,10 +58,15 @@ def no_long_line(text: Column) -> Column:
     return ~F.exists(lines_of(text), lambda x: F.length(x) > fixed.MAX_LINE_CHARS)
 
 
+def long_lined(lines: DataFrame, most: int = fixed.MAX_LINE_CHARS) -> DataFrame:
+    """The paths of files with a line of more than ``most`` characters."""
+    return lines.groupBy("path").agg(F.max(F.length(F.coalesce("content", F.lit("")))).alias("_n")).where(F.col("_n") > most).select("path")
+
+
 def decoded(content: Column) -> Column:
-    """Bytes as text: null for binary content (a zero byte early on) and for bad UTF-8 (the tree source replaces that)."""
+    """Bytes as text: null for binary content (a zero byte early on); bad UTF-8 is replaced, as the tree source does."""
     binary = F.locate("\x00", F.substring(content, 1, fixed.BINARY_PROBE_BYTES).cast("string")) > 0
-    return F.when(binary, F.lit(None)).otherwise(F.try_validate_utf8(content.cast("string")) if hasattr(F, "try_validate_utf8") else content.cast("string"))
+    return F.when(binary, F.lit(None)).otherwise(F.make_valid_utf8(content.cast("string")))
 
 
 def indexable(files: DataFrame, patterns: Iterable[str] | None = None) -> DataFrame:

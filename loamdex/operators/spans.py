@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamdex.functions.fixed import MAX_FILE_BYTES
+from loamdex.sources.tree import decode
 
 
 def bounds(start: int, end: int, context: int = 0) -> tuple[int, int]:
@@ -30,7 +31,7 @@ def span_text(lines: DataFrame, path: str, start: int, end: int, context: int =
 
 
 def live_span(root: str, relative: str, start: int, end: int, context: int = 0) -> str | None:
-    """The span from the file itself; None if it cannot be read or lies outside of the root."""
+    """The span from the file itself; None if it cannot be read as source text or lies outside of the root."""
     base = os.path.realpath(root)
     path = os.path.realpath(os.path.join(base, relative))
     if os.path.commonpath([base, path]) != base:
@@ -38,9 +39,12 @@ def live_span(root: str, relative: str, start: int, end: int, context: int = 0)
     try:
         if not os.path.isfile(path) or os.path.getsize(path) > MAX_FILE_BYTES:
             return None
-        have = Path(path).read_text("utf-8", errors="replace").splitlines()
+        text = decode(Path(path).read_bytes())
     except OSError:
         return None
+    if text is None:  # binary, or with a line too long to be source
+        return None
+    have = text.splitlines()
     low, high = bounds(start, end, context)
     return "\n".join(have[low - 1 : high])
 

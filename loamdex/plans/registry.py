@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loamdex.functions import fixed
 from loamdex.functions.globs import file_expressions
 from loamdex.operators import chunks, embed, extract, fulltext, hybrid, maintain, scan, spans, symbols, vectors
+from loamdex.operators.textindex import TextIndex
 from loamdex.sources import registry as services_of
 from loamdex.streaming import watch
 from loamdex.tables import read_table
@@ -23,6 +24,17 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("path", "line", F.coalesce("content", F.lit("")).alias("content")).distinct()
 
 
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def text_index(spark: SparkSession, d: str) -> TextIndex:
+    """The full-text index of a folder's lines, built by the first query of a session that asks for it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = TextIndex.build(corpus(spark, d))
+    return _INDEXES[key]
+
+
 # The corpus in SQL: distinct lines with their tokens and length.
 _D = r"""
 d AS (SELECT path, line, content, regexp_extract_all(lower(strip_accents(content)), '[\p{L}\p{N}]+') AS tokens FROM (SELECT DISTINCT path, line, coalesce(content, '') AS content FROM lines_fts WHERE path IS NOT NULL AND line IS NOT NULL)),
@@ -65,7 +77,7 @@ def _bm25_sql(phrases: list[str], match: str, scored: list[str] | None = None, k
 
 def _text(query: str, **options) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return fulltext.search(corpus(spark, d), query, **options).withColumn("score", F.round("score", 6))
+        return text_index(spark, d).search(query, **options).withColumn("score", F.round("score", 6))
 
     return run
 
@@ -97,14 +109,14 @@ def _named(name: str, sql: str | None = None):
 
 _add("text_term", _text("snapshot"), _bm25_sql(["snapshot"], "n0 > 0"))
 _add("text_and", _text("owner AND group OR (manifest AND index)"), _bm25_sql(["owner", "group", "manifest", "index"], "(n0 > 0 AND n1 > 0) OR (n2 > 0 AND n3 > 0)", ["CASE WHEN n0 > 0 AND n1 > 0 THEN n0 ELSE 0 END", "CASE WHEN n0 > 0 AND n1 > 0 THEN n1 ELSE 0 END", "CASE WHEN n2 > 0 AND n3 > 0 THEN n2 ELSE 0 END", "CASE WHEN n2 > 0 AND n3 > 0 THEN n3 ELSE 0 END"]))
-_add("text_implicit_and", _text("return null"), _bm25_sql(["return", "null"], "n0 > 0 AND n1 > 0"))
+_add("text_implicit_and", _text("public final"), _bm25_sql(["public", "final"], "n0 > 0 AND n1 > 0"))
 _add("text_or", _text("ledger OR harbor"), _bm25_sql(["ledger", "harbor"], "n0 > 0 OR n1 > 0"))
 _add("text_not", _text("import NOT java"), _bm25_sql(["import", "java"], "n0 > 0 AND n1 = 0", ["n0", "0"]))
 _add("text_phrase", _text('"the parcel"'), _bm25_sql(["the parcel"], "n0 > 0"))
-_add("text_joined", _text("anchor_point + cache"), _bm25_sql(["anchor point cache"], "n0 > 0"))
+_add("text_joined", _text("handed_to + the"), _bm25_sql(["handed to the"], "n0 > 0"))
 _add("text_prefix", _text("snap* AND re*"), _bm25_sql(["snap*", "re*"], "n0 > 0 AND n1 > 0"))
 _add("text_initial", _text("^ return"), _bm25_sql(["^return"], "n0 > 0"))
-_add("text_fallback", _text("compute(the row"), _bm25_sql(["compute the row"], "n0 > 0"))
+_add("text_fallback", _text("differs(from"), _bm25_sql(["differs from"], "n0 > 0"))
 _add("text_fallback_hit", _text('the "anchor point'), _bm25_sql(["the anchor point"], "n0 > 0"))
 _add("text_column", _text("content : token"), _bm25_sql(["token"], "n0 > 0"))
 _add("text_unindexed_column", _text("path : token"), _bm25_sql(["token"], "n0 < 0"))
@@ -115,25 +127,27 @@ _add("text_parity", _text("queue", include="*.go", limit=10, parity=True), _bm25
 
 @_named("text_near", f"WITH {_D} SELECT path, line FROM t WHERE len(list_filter(range(1, len(tokens) + 1), lambda i: tokens[i] = 'the' AND len(list_filter(range(1, len(tokens) + 1), lambda j: tokens[j] = 'before' AND abs(i - j) <= 4)) > 0)) > 0")
 def text_near(spark: SparkSession, d: str) -> DataFrame:
-    return fulltext.ranked(corpus(spark, d), "NEAR(the before, 3)").select("path", "line")
+    return text_index(spark, d).ranked("NEAR(the before, 3)").select("path", "line")
 
 
 @_named("corpus_stats", f"WITH {_D} SELECT count(*) AS lines, sum(dl)::BIGINT AS tokens, round(sum(dl)::DOUBLE / count(*), 6) AS mean_length FROM t")
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = fulltext.tokenized(corpus(spark, d))
-    return rows.agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("dl").cast("bigint")).alias("tokens")).withColumn("mean_length", F.round(F.col("tokens") / F.col("lines"), 6))
+    rows = text_index(spark, d).statistics()
+    return rows.select(F.col("_N").alias("lines"), F.col("_len").alias("tokens"), F.round(F.col("_len") / F.col("_N"), 6).alias("mean_length"))
 
 
 @_named("postings_top", f"WITH {_D}, x AS (SELECT path, line, unnest(tokens) AS token FROM t) SELECT token, count(DISTINCT (path, line)) AS lines, count(*) AS occurrences FROM x GROUP BY token ORDER BY lines DESC, token LIMIT 50")
 def postings_top(spark: SparkSession, d: str) -> DataFrame:
-    return fulltext.postings(corpus(spark, d)).groupBy("token").agg(F.count(F.lit(1)).alias("lines"), F.sum("tf").alias("occurrences")).orderBy(F.desc("lines"), "token").limit(50)
+    return text_index(spark, d).postings.groupBy("token").agg(F.count(F.lit(1)).alias("lines"), F.sum("tf").alias("occurrences")).orderBy(F.desc("lines"), "token").limit(50)
 
 
-@_named("text_by_postings", _bm25_sql(["ledger", "harbor"], "n0 > 0 OR n1 > 0").replace("round(score, 6) AS score", "content AS c0").replace("SELECT path, line, content, content AS c0 FROM", "SELECT path, line FROM").replace("LIMIT 30", "LIMIT 1000000"))
+@_named("text_by_postings", _bm25_sql(["ledger", "harbor"], "n0 > 0 OR n1 > 0", limit=1_000_000).replace("SELECT path, line, content, round(", "SELECT path, line, round("))
 def text_by_postings(spark: SparkSession, d: str) -> DataFrame:
-    """The matches of a query, with the postings telling which lines to look at."""
-    lines = fulltext.tokenized(corpus(spark, d))
-    return fulltext.ranked(fulltext.candidates(fulltext.postings(lines), lines, "ledger OR harbor"), "ledger OR harbor").select("path", "line")
+    """All matches of a query with their scores, from the postings alone."""
+    return text_index(spark, d).ranked("ledger OR harbor").withColumn("score", F.round("score", 6))
+
+
+_add("text_by_scan", lambda s, d: fulltext.search(corpus(s, d), "ledger OR harbor", 1000).withColumn("score", F.round("score", 6)), _bm25_sql(["ledger", "harbor"], "n0 > 0 OR n1 > 0", limit=1000))
 
 
 # ---- symbols, outlines, spans
@@ -145,9 +159,9 @@ def _symbols(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "symbols").select(*symbols.HIT).distinct()
 
 
-_add("symbol_exact", lambda s, d: symbols.search(_symbols(s, d), "Service", exact=True), f"SELECT * FROM ({_SYMBOLS}) WHERE name = 'Service' ORDER BY path, start_line, end_line, kind LIMIT 30")
+_add("symbol_exact", lambda s, d: symbols.search(_symbols(s, d), "Sensor", exact=True), f"SELECT * FROM ({_SYMBOLS}) WHERE name = 'Sensor' ORDER BY path, start_line, end_line, kind LIMIT 30")
 _add("symbol_substring", lambda s, d: symbols.search(_symbols(s, d), "LEDGER", 50), f"SELECT * FROM ({_SYMBOLS}) WHERE lower(name) LIKE '%ledger%' ORDER BY length(name), path, start_line, name, kind LIMIT 50")
-_add("symbol_wildcard", lambda s, d: symbols.search(_symbols(s, d), "scan_cold%", 50), f"SELECT * FROM ({_SYMBOLS}) WHERE lower(name) LIKE '%scan_cold%%' ORDER BY length(name), path, start_line, name, kind LIMIT 50")
+_add("symbol_wildcard", lambda s, d: symbols.search(_symbols(s, d), "scan_p%", 50), f"SELECT * FROM ({_SYMBOLS}) WHERE lower(name) LIKE '%scan_p%%' ORDER BY length(name), path, start_line, name, kind LIMIT 50")
 _add("symbol_glob", lambda s, d: symbols.search(_symbols(s, d), "queue", 40, include="*.py,*.go", exclude="**/tests/**"), f"SELECT * FROM ({_SYMBOLS}) WHERE lower(name) LIKE '%queue%' AND ({_glob_sql('*.py,*.go')}) AND NOT ({_glob_sql('**/tests/**')}) ORDER BY length(name), path, start_line, name, kind LIMIT 40")
 
 
@@ -246,7 +260,11 @@ def semantic_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @_named("hybrid_sections")
 def hybrid_sections(spark: SparkSession, d: str) -> DataFrame:
-    return hybrid.search(corpus(spark, d), _symbols(spark, d), "ledger", 8).withColumn("score", F.round("score", 6))
+    """All three sections; the vectors of the embeddings table stand for points."""
+    rows, q = _vectors(spark, d)
+    key = F.lpad(F.col("vec_id").cast("string"), 12, "0")
+    points = rows.select(key.alias("point_id"), F.concat(F.lit("vec/"), key).alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.col("label").cast("string").alias("preview"), "embedding", "norm")
+    return hybrid.search(text_index(spark, d), _symbols(spark, d), "ledger", 8, points, q).withColumn("score", F.round("score", 6))
 
 
 SQL["hybrid_sections"] = f"""
@@ -254,6 +272,9 @@ SQL["hybrid_sections"] = f"""
     FROM (SELECT * FROM ({_SYMBOLS}) WHERE lower(name) LIKE '%ledger%' ORDER BY length(name), path, start_line, name, kind LIMIT 8)
     UNION ALL
     SELECT 'Text', row_number() OVER (ORDER BY score, path, line)::INT, path, line, line, content, score FROM ({_bm25_sql(["ledger"], "n0 > 0", limit=8)})
+    UNION ALL
+    SELECT 'Semantic', row_number() OVER (ORDER BY score DESC, vec_id)::INT, 'vec/' || lpad(vec_id::VARCHAR, 12, '0'), 1, 1, label::VARCHAR, round(score, 6)
+    FROM ({_COSINE} SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 8)
 """
 
 
@@ -286,9 +307,10 @@ def language_tags(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "files").select("path", scan.language(F.col("path")).alias("language")).distinct().groupBy("language").agg(F.count(F.lit(1)).alias("files"))
 
 
-@_named("long_line_guard", "SELECT path FROM lines_fts GROUP BY path HAVING max(length(coalesce(content, ''))) > 5000")
+@_named("long_line_guard", "SELECT path FROM lines_fts GROUP BY path HAVING max(length(coalesce(content, ''))) > 1000")
 def long_line_guard(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "lines_fts").groupBy("path").agg(F.max(F.length(F.coalesce("content", F.lit("")))).alias("n")).where(F.col("n") > fixed.MAX_LINE_CHARS).select("path")
+    """The guard with a limit that these tables reach."""
+    return scan.long_lined(read_table(spark, d, "lines_fts"), 1000)
 
 
 # ---- maintenance
@@ -308,7 +330,7 @@ _OLD = "SELECT path, m.mtime AS mtime, m.size AS size FROM (SELECT path, min({'m
 
 _add("current_files", lambda s, d: maintain.current(read_table(s, d, "files")).select("path", "mtime", "size", "lang"), f"SELECT path, mtime, size, lang FROM ({_CURRENT})")
 _add("incr_changed", lambda s, d: maintain.changed(*_files(s, d)).select("path", "mtime", "size"), f"SELECT path, mtime, size FROM ({_CURRENT}) c WHERE NOT EXISTS (SELECT 1 FROM ({_OLD}) o WHERE o.path = c.path AND o.mtime = c.mtime AND o.size = c.size)")
-_add("incr_gone", lambda s, d: maintain.gone(read_table(s, d, "semantic_hits"), read_table(s, d, "files").select("path")), "SELECT DISTINCT path FROM semantic_hits WHERE path IS NOT NULL AND path NOT IN (SELECT path FROM files WHERE path IS NOT NULL)")
+_add("incr_gone", lambda s, d: maintain.gone(read_table(s, d, "lines_fts").where("path IS NOT NULL"), scan.indexable(read_table(s, d, "files")).select("path")), f"SELECT DISTINCT path FROM lines_fts WHERE path IS NOT NULL AND path NOT IN (SELECT path FROM files WHERE {_KEPT})")
 _add("orphaned_symbols", lambda s, d: maintain.gone(read_table(s, d, "symbols"), read_table(s, d, "files").select("path").distinct()), "SELECT DISTINCT path FROM symbols WHERE path NOT IN (SELECT path FROM files WHERE path IS NOT NULL)")
 
 

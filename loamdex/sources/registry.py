@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import os
 import re
 import tomllib
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+LOG = logging.getLogger(__name__)
+
+
 class RegistryError(ValueError):
     """The registry cannot be read."""
 
@@ -51,12 +55,10 @@ def _is_repo(path: str) -> bool:
 
 
 def discovered(root: str, depth: int = 1) -> list[str]:
-    """Repositories below a workspace, to a depth; the root itself if it is one."""
-    if _is_repo(root):
-        return [root]
+    """Repositories below a workspace, to a depth, and the root itself if it is one; nothing below another repository."""
     out: list[str] = []
     level = [root]
-    for _ in range(max(0, depth)):
+    for _ in range(max(1, depth)):
         below: list[str] = []
         for folder in level:
             try:
@@ -69,13 +71,20 @@ def discovered(root: str, depth: int = 1) -> list[str]:
                     continue
                 (out if _is_repo(full) else below).append(full)
         level = below
-    return out
+    return [*out, root] if _is_repo(root) else out
+
+
+def _depth(value) -> int:
+    try:
+        return int(value)
+    except (TypeError, ValueError):
+        return 1
 
 
 def load(path: str, strict: bool = False) -> list[Service]:
     """Services of a registry, by lower-case name; explicit ones win over discovered ones.
 
-    A missing file has none; a malformed one has none either, or raises if ``strict``.
+    A missing file has none; a malformed one has none either, with a warning, or raises if ``strict``.
     """
     if not os.path.exists(path):
         return []
@@ -85,6 +94,7 @@ def load(path: str, strict: bool = False) -> list[Service]:
     except (OSError, tomllib.TOMLDecodeError) as e:
         if strict:
             raise RegistryError(str(e)) from e
+        LOG.warning("registry %s is ignored: %s", path, e)
         return []
     found: dict[str, Service] = {}
     for s in _listed(data.get("service")):
@@ -93,8 +103,7 @@ def load(path: str, strict: bool = False) -> list[Service]:
             found[full] = Service(str(s.get("name") or os.path.basename(full)), full, _texts(s.get("ignore")), _truth(s.get("use_gitignore")))
     for w in _listed(data.get("workspace")):
         if isinstance(w.get("path"), str) and w["path"]:
-            depth = w.get("depth", 1)
-            for full in map(os.path.realpath, discovered(os.path.realpath(os.path.expanduser(w["path"])), depth if isinstance(depth, int) else 1)):
+            for full in map(os.path.realpath, discovered(os.path.realpath(os.path.expanduser(w["path"])), _depth(w.get("depth", 1)))):
                 found.setdefault(full, Service(os.path.basename(full), full, _texts(w.get("ignore")), _truth(w.get("use_gitignore"))))
     return sorted(found.values(), key=lambda s: s.name.lower())
 

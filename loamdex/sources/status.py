@@ -1,11 +1,13 @@
-"""Status records of indexing runs: one JSON file a service, replaced at once."""
+"""Status records of indexing runs: one JSON file a service, replaced at once; and what else a run reports to."""
 
 from __future__ import annotations
 
 import json
+import logging
 import os
 import time
 import uuid
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,62 @@ FIELDS = (
 ACTIVE = ("scanning", "indexing", "removing", "embedding")
 
 
+LOG = logging.getLogger(__name__)
+
+
+class Reporter(Protocol):
+    """What a run tells of itself."""
+
+    def update(self, **fields) -> None: ...
+
+    def finish(self, error: str | None = None) -> None: ...
+
+
+class Silent:
+    """Tells nobody."""
+
+    def update(self, **fields) -> None:
+        pass
+
+    def finish(self, error: str | None = None) -> None:
+        pass
+
+
+class Printed:
+    """A line for each phase and the end of a run."""
+
+    def __init__(self, say=print):
+        self.say, self.phase = say, None
+
+    def update(self, **fields) -> None:
+        if fields.get("phase", self.phase) != self.phase:
+            self.phase = fields["phase"]
+            self.say(f"{self.phase} {fields.get('done', '')}".strip())
+
+    def finish(self, error: str | None = None) -> None:
+        self.say(f"error: {error}" if error else "done")
+
+
+class Several:
+    """Tells several reporters; one that fails is logged and the others still hear."""
+
+    def __init__(self, *reporters: Reporter):
+        self.reporters = reporters
+
+    def _each(self, call) -> None:
+        for r in self.reporters:
+            try:
+                call(r)
+            except Exception:
+                LOG.exception("a reporter failed")
+
+    def update(self, **fields) -> None:
+        self._each(lambda r: r.update(**fields))
+
+    def finish(self, error: str | None = None) -> None:
+        self._each(lambda r: r.finish(error))
+
+
 class Writer:
     """Writes a run's status, at most every ``every`` seconds unless the phase changes."""
 
@@ -43,6 +101,16 @@ class Writer:
         self.last = time.time()
 
 
+def read_one(folder: str, service_id: str) -> dict:
+    """A service's record; empty if there is none that can be read."""
+    try:
+        with open(os.path.join(folder, f"{service_id}.json"), encoding="utf-8") as f:
+            got = json.load(f)
+        return got if isinstance(got, dict) else {}
+    except (OSError, ValueError):
+        return {}
+
+
 def read_all(spark: SparkSession, folder: str) -> DataFrame:
     """All records; unreadable files are skipped."""
     rows = spark.read.schema(FIELDS + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").option("multiLine", "true").option("pathGlobFilter", "*.json").json(folder)

@@ -7,6 +7,7 @@ import pytest
 
 from loamdex.operators import fulltext
 from loamdex.operators.ftsquery import QueryError, parse, tokens_of
+from loamdex.operators.textindex import TextIndex
 
 WORDS = "alpha beta gamma delta Alpha BETA café CAFE naïve charge_customer chargeCustomer x1 foo-bar a.b größe".split()
 
@@ -80,13 +81,22 @@ def test_fallback_and_limits(both):
     assert {r["path"] for r in rows("alpha", exclude="src/f1.py", limit=400)} == {f"src/f{i}.py" for i in range(9) if i != 1}
 
 
-def test_postings_give_the_same(both):
-    _, df = both
-    index = fulltext.postings(df)
-    for q in ("alpha OR x1", '"alpha beta" NOT gamma', "caf* AND delta"):
-        a = {(r["path"], r["line"]) for r in fulltext.ranked(df, q).collect()}
-        b = {(r["path"], r["line"]) for r in fulltext.ranked(fulltext.candidates(index, df, q), q).collect()}
-        assert a == b
+@pytest.fixture(scope="module")
+def index(both):
+    return TextIndex.build(both[1])
+
+
+@pytest.mark.parametrize("query", [*QUERIES, "alpha NOT (alph* AND beta)", "^gr*", "!!!", ""])
+def test_index_gives_the_same(both, index, query):
+    a = {(r["path"], r["line"]): r["score"] for r in fulltext.ranked(both[1], query).collect()}
+    b = {(r["path"], r["line"]): r["score"] for r in index.ranked(query).collect()}
+    assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_index_searches_the_same(both, index):
+    for options in ({}, {"limit": 5, "include": "src/f1.py"}, {"limit": 3, "exclude": "src/f1.py", "parity": True, "include": "src/*"}, {"limit": 0}, {"limit": -2}, {"limit": 2000}):
+        a, b = (x.search("alpha OR x1", **options).collect() if x is index else fulltext.search(both[1], "alpha OR x1", **options).collect() for x in (fulltext, index))
+        assert [r[:3] for r in a] == [r[:3] for r in b] and all(abs(x[3] - y[3]) < 1e-9 for x, y in zip(a, b))
 
 
 def test_tokens():
@@ -96,3 +106,5 @@ def test_tokens():
 def test_empty_and_null(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, "")], "path string, line int, content string")
     assert fulltext.search(df, "x").collect() == [] and fulltext.search(df.limit(0), "x").collect() == []
+    for rows in (df, df.limit(0)):
+        assert TextIndex.build(rows).search("x").collect() == []

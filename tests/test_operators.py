@@ -110,12 +110,28 @@ def test_incremental_equals_full(spark):
 
 
 def test_store(spark, tmp_path):
-    store = maintain.Store(spark, str(tmp_path / "index"))
-    assert store.read() is None
-    v1 = store.commit({"files": spark.range(3)})
+    folder = f"file://{tmp_path}/index"
+    store = maintain.Store(spark, folder, buckets=8, kept=2)
+    rows = lambda some: spark.createDataFrame(some, "path string, size int")
+    have = lambda: sorted(map(tuple, store.read().tables["files"].collect()))
+    assert store.read() is None and store.version() is None
+    v1 = store.commit({"files": rows([(f"p{i}", i) for i in range(30)])})
     old = store.read()
-    v2 = store.commit({"files": spark.range(5)})
-    assert v1 != v2 and store.read().tables["files"].count() == 5 and old.tables["files"].count() == 3
+    touched = store.touched(rows([("p3", 0)]))
+    assert len(touched) == 1
+    kept = store.read(buckets=touched).tables["files"]
+    assert 0 < kept.count() < 30
+    names = store.files.names(f"{folder}/data")
+    v2 = store.commit({"files": kept.where("path <> 'p3'").unionByName(rows([("p3", 99)]))}, touched)
+    assert v1 < v2 and have() == sorted([(f"p{i}", i) for i in range(30) if i != 3] + [("p3", 99)]) and old.tables["files"].where("size = 3").count() == 1
+    new = [n for n in store.files.names(f"{folder}/data") if n not in names]
+    assert len(store.files.names(f"{folder}/data/{new[0]}")) <= 2  # the touched bucket and the writer's mark
+    (tmp_path / "index/manifests/9.json").write_text("{")  # of a writer that died
+    assert store.version() == v2 and maintain.Store(spark, folder).buckets == 8
+    with pytest.raises(Exception):
+        store.files.create(f"{folder}/manifests/{v2}.json", "{}")
+    v3 = store.commit({"files": rows([])}, None)
+    assert v3 == 10 and have() == [] and store._numbers() == [10, 9]
 
 
 def test_extract():

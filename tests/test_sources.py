@@ -3,6 +3,7 @@ import os
 
 import pytest
 
+from loamdex.operators import scan
 from loamdex.sources import registry, status, tree
 
 
@@ -33,6 +34,11 @@ def test_registry(spark, tmp_path):
     assert registry.resolve(got, "two").path.endswith("ws/two") and registry.resolve(got, None) is None
     with pytest.raises(ValueError):
         registry.resolve(got, "no")
+    # A root that is a repository and has repositories in it gives all of them; a depth may be text.
+    (tmp_path / "ws/.git").mkdir()
+    assert sorted(os.path.basename(p) for p in registry.discovered(str(tmp_path / "ws"), 1)) == ["one", "two", "ws"]
+    f.write_text(f'[[workspace]]\npath = "{tmp_path}/ws"\ndepth = "2"\n')
+    assert [s.name for s in registry.load(str(f))] == ["one", "three", "two", "ws"]
     f.write_text("[[service]\n")
     assert registry.load(str(f)) == []
     with pytest.raises(registry.RegistryError):
@@ -50,3 +56,25 @@ def test_status(spark, tmp_path):
     assert rows["s1"]["progress"] == 25.0 and rows["s1"]["busy"] and rows["s1"]["lost"] == 2 and rows["s2"]["phase"] == "never"
     w.finish()
     assert json.loads((tmp_path / "s1.json").read_text())["phase"] == "done"
+
+
+def test_reporters(tmp_path):
+    class Bad:
+        def update(self, **fields):
+            raise OSError
+
+        def finish(self, error=None):
+            raise OSError
+
+    said = []
+    both = status.Several(Bad(), status.Printed(said.append), status.Silent(), status.Writer(str(tmp_path), "s", "n", "/x"))
+    both.update(phase="scanning")
+    both.update(phase="scanning", done=1)
+    both.finish("it broke")
+    assert said == ["scanning", "error: it broke"]
+    assert status.read_one(str(tmp_path), "s")["phase"] == "error" and status.read_one(str(tmp_path), "no") == {}
+
+
+def test_decode(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"a\xffb")), (2, bytearray(b"a\x00b")), (3, bytearray("é".encode()))], "i int, c binary")
+    assert [r[1] for r in rows.select("i", scan.decoded(rows["c"])).orderBy("i").collect()] == ["a�b", None, "é"]
