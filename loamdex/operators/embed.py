@@ -53,7 +53,7 @@ def parsed(body: bytes | str, wanted: int) -> list[list[float]]:
         raise EmbeddingError("not JSON") from e
     if not isinstance(data, dict):
         raise EmbeddingError("not an object")
-    if data.get("error"):
+    if "data" not in data and isinstance(data.get("error"), (dict, str)):
         raise EmbeddingError(f"service error: {data['error']}")
     items = data.get("data")
     if not isinstance(items, list) or len(items) != wanted:
@@ -63,9 +63,13 @@ def parsed(body: bytes | str, wanted: int) -> list[list[float]]:
         v = item.get("embedding") if isinstance(item, dict) else None
         if not isinstance(v, list) or not v:
             raise EmbeddingError("missing vector")
-        if any(isinstance(x, bool) or not isinstance(x, (int, float)) or not math.isfinite(x) for x in v):
-            raise EmbeddingError("not numbers")
-        out.append([float(x) for x in v])
+        try:
+            numbers = [float(x) for x in v]  # numbers written as text are numbers
+        except (TypeError, ValueError) as e:
+            raise EmbeddingError("not numbers") from e
+        if not all(map(math.isfinite, numbers)):
+            raise EmbeddingError("not finite")
+        out.append(numbers)
     if len({len(v) for v in out}) > 1:
         raise EmbeddingError("unequal dimensions")
     return out

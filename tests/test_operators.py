@@ -52,6 +52,7 @@ def test_vectors(spark):
 
 
 def test_embedding_answers():
+    assert embed.parsed('{"data":[{"embedding":["1.5", 2]}],"error":{"message":"x"}}', 1) == [[1.5, 2.0]]
     ok = embed.parsed('{"data":[{"index":1,"embedding":[2]},{"index":0,"embedding":[1]}]}', 2)
     assert ok == [[1.0], [2.0]]
     for bad in ("<html>", "[]", '{"error":"x"}', '{"data":[]}', '{"data":[{"index":0}]}', '{"data":[{"embedding":["a"]}]}', '{"data":[{"embedding":[NaN]}]}', '{"data":[{"embedding":[]}]}'):
