@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import base64
 import os
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,19 @@ DEFAULT_VOCABULARY = "byte_bpe_50k"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: The greatest file that is taken for a vocabulary; it is sent to every executor.
+MOST_BYTES = 64 << 20
+
+
+def vocabulary(path: str | None = None) -> bytes:
+    """The file of a vocabulary, read on the driver; executors need no copy of it on their disks."""
+    path = path or vocabulary_path()
+    if os.path.getsize(path) > MOST_BYTES:
+        raise ValueError(f"{path} is too large for a vocabulary")
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def vocabulary_path(folder: str = DEFAULT_FOLDER, name: str = DEFAULT_VOCABULARY) -> str:
     return os.path.join(folder, f"{name}.tiktoken")
 
@@ -37,9 +52,8 @@ def vocabulary_path(folder: str = DEFAULT_FOLDER, name: str = DEFAULT_VOCABULARY
 class TrieEncoder:
     """Encodes words of one vocabulary; keeps what it learnt between batches."""
 
-    def __init__(self, path: str, keep_words: int = 200_000, keep_pairs: int = 1_000_000):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, vocabulary: bytes, keep_words: int = 200_000, keep_pairs: int = 1_000_000):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.suffixes = {t[i:] for t in self.ranks for i in range(len(t))}
         self.words = regex.compile(WORDS)
@@ -117,14 +131,15 @@ class TrieEncoder:
         return [[i for w in words for i in known[w]] for words in cut]
 
 
-_ENCODERS: dict[str, TrieEncoder] = {}
+_ENCODERS: dict[int, TrieEncoder] = {}
 
 
-def encoder(path: str) -> TrieEncoder:
-    """The worker's encoder for a vocabulary; read once a process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TrieEncoder(path)
-    return _ENCODERS[path]
+def encoder(sent: Broadcast) -> TrieEncoder:
+    """The worker's encoder for a vocabulary that was sent; made once a process."""
+    key = zlib.crc32(sent.value)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TrieEncoder(sent.value)
+    return _ENCODERS[key]
 
 
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -135,11 +150,11 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 def encode(documents: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) of every row. Needs no shuffle: each task encodes its own rows."""
-    where = path or vocabulary_path()
+    sent = documents.sparkSession.sparkContext.broadcast(vocabulary(path))
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(where)
+        enc = encoder(sent)
         for batch in _small(batches):
             ids = enc.encode_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
@@ -152,12 +167,12 @@ def token_counts(documents: DataFrame, path: str | None = None, text: str = "tex
 
     ``keep`` columns come through; a column already named ``tokens`` is replaced.
     """
-    where = path or vocabulary_path()
+    sent = documents.sparkSession.sparkContext.broadcast(vocabulary(path))
     kept = [c for c in documents.columns if c not in (text, "tokens")]
     fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(where)
+        enc = encoder(sent)
         for batch in _small(batches):
             n = [len(x) for x in enc.encode_batch(batch.column(batch.num_columns - 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*kept, "tokens"])

@@ -17,7 +17,7 @@ def both():
 
     t = Tokenizer.from_file(PATH.replace(".tiktoken", ".json"))
     t.encode_special_tokens = True
-    return K.TrieEncoder(PATH, keep_words=50, keep_pairs=200), t
+    return K.TrieEncoder(K.vocabulary(), keep_words=50, keep_pairs=200), t
 
 
 @settings(max_examples=150, deadline=None)
@@ -41,6 +41,24 @@ def test_table(spark):
     assert K.token_counts(df).columns == ["doc_id", "ids", "tokens"]
 
 
+def test_vocabulary_is_bounded(monkeypatch):
+    monkeypatch.setattr(K, "MOST_BYTES", 10)
+    with pytest.raises(ValueError):
+        K.vocabulary()
+
+
+def test_many_buckets(spark, monkeypatch):
+    """Buckets change the order, not the sums: each source still has its copies to within one."""
+    counts = spark.createDataFrame([(i, "ab"[i % 5 == 0], 5 + i % 40) for i in range(900)], "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 4)], "source string, target_share double, max_repeats int")
+    monkeypatch.setattr(M, "BUCKET_ROWS", 7)
+    total = {r["source"]: r["documents"] * r["copies"] for r in M.plan(counts, targets).collect()}
+    rows = M.mix(counts, targets).collect()
+    for source in "ab":
+        mine = [r for r in rows if r["source"] == source]
+        assert abs(sum(r["copies"] for r in mine) - total[source]) < 1 and all(abs(r["copies"] - r["copies_expected"]) < 1 for r in mine)
+
+
 def test_mixing(spark):
     rows = [(i, "a", 10 + i % 7) for i in range(300)] + [(1000 + i, "b", 50) for i in range(20)] + [(2000, None, 9), (2001, "x", 9), (2002, "c", 0)]
     counts = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
