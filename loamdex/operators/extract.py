@@ -100,10 +100,12 @@ _rules("rust", ("function_item", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+
        ("enum_item", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?enum\s+(?P<n>\w+)"), ("trait_item", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(?P<n>\w+)"),
        ("impl_item", r"^[ \t]*(?:unsafe\s+)?impl\s*(?:<[^>{]*>)?\s*(?:!?[\w:]+(?:<[^{]*?>)?\s+for\s+)?&?(?P<n>\w+)"), ("mod_item", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+(?P<n>\w+)"))
 _rules("go", ("function_declaration", r"^func\s+(?P<n>\w+)"), ("method_declaration", r"^func\s*\([^)]*\)\s*(?P<n>\w+)"), ("type_declaration", r"^type\s+(?P<n>\w+)"))
-_JAVA_TYPE = r"(?:<[^>(){}]*>\s*)?[\w.]+(?:\s*<[^(){};=]*>)?(?:\s*\[\s*\])*"
-_rules("java", ("class_declaration", rf"^[ \t]*{_MODS}class\s+(?P<n>\w+)"), ("annotation_type_declaration", rf"^[ \t]*{_MODS}@interface\s+(?P<n>\w+)"), ("interface_declaration", rf"^[ \t]*{_MODS}(?<!@)interface\s+(?P<n>\w+)"),
-       ("enum_declaration", rf"^[ \t]*{_MODS}enum\s+(?P<n>\w+)"), ("record_declaration", rf"^[ \t]*{_MODS}record\s+(?P<n>\w+)\s*(?:<[^>]*>)?\("), ("method_declaration", rf"^[ \t]*{_MODS}{_JAVA_TYPE}\s+(?P<n>\w+)\s*\([^;{{}}=]*?\)\s*(?:throws\s+[\w.,\s]+)?[{{;]"),
-       ("constructor_declaration", r"^[ \t]*(?:(?:public|private|protected)\s+)?(?P<n>[A-Z]\w*)\s*\([^;{}=]*?\)\s*(?:throws\s+[\w.,\s]+)?\{"))
+#: Annotations on the line of a Java definition; those on lines above are found from there.
+_JAVA_MODS = _MODS.replace("(?:(?:public", r"(?:@(?!interface\b)[\w.]+(?:\([^()\n]*\))?[ \t]+|(?:public", 1)[:-1] + "*+"
+_JAVA_TYPE = r"(?!(?:return|new|throw|else|case|assert|yield|package|import)\b)(?:<[^>(){}]*>\s*)?[\w.]+(?:\s*<[^(){};=]*>)?(?:\s*\[\s*\])*"
+_rules("java", ("class_declaration", rf"^[ \t]*{_JAVA_MODS}class\s+(?P<n>\w+)"), ("annotation_type_declaration", rf"^[ \t]*{_JAVA_MODS}@interface\s+(?P<n>\w+)"), ("interface_declaration", rf"^[ \t]*{_JAVA_MODS}(?<!@)interface\s+(?P<n>\w+)"),
+       ("enum_declaration", rf"^[ \t]*{_JAVA_MODS}enum\s+(?P<n>\w+)"), ("record_declaration", rf"^[ \t]*{_JAVA_MODS}record\s+(?P<n>\w+)\s*(?:<[^>]*>)?\("), ("method_declaration", rf"^[ \t]*{_JAVA_MODS}{_JAVA_TYPE}\s+(?P<n>\w+)\s*\([^;{{}}=]*?\)\s*(?:throws\s+[\w.,\s]+)?[{{;]"),
+       ("constructor_declaration", rf"^[ \t]*{_JAVA_MODS}(?P<n>[A-Z]\w*)\s*\([^;{{}}=]*?\)\s*(?:throws\s+[\w.,\s]+)?\{{"))
 _rules("kotlin", ("function_declaration", rf"^[ \t]*{_MODS}(?:operator\s+|infix\s+|tailrec\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w.<>?]+\.)?(?P<n>\w+)\s*\("), ("class_declaration", rf"^[ \t]*{_MODS}(?:enum\s+|annotation\s+|value\s+)?(?:class|interface)\s+(?P<n>\w+)"), ("object_declaration", rf"^[ \t]*{_MODS}(?:companion\s+)?object\s+(?P<n>\w+)"))
 _C_FUNCTION = r"^[ \t]*(?!return\b|else\b|typedef\b)(?:[A-Za-z_][\w:<>,~]*[\s*&]+)+(?:[\w:]+::)?(?P<n>~?[A-Za-z_]\w*)\s*\([^;{}=]*\)\s*(?:const\s*|noexcept\s*|override\s*)*\{"
 _rules("c", ("function_definition", _C_FUNCTION), ("struct_specifier", r"\bstruct\s+(?P<n>\w+)\s*\{"), ("enum_specifier", r"\benum\s+(?P<n>\w+)\s*\{"))
@@ -146,6 +148,21 @@ def _indented(text: str) -> list[Definition]:
     return out
 
 
+def _annotated_from(lines: list[str], first: int) -> int:
+    """The first line (1-based) of the annotations right above a definition."""
+    while first > 1:
+        k = first - 2
+        depth = lines[k].count(")") - lines[k].count("(")
+        while depth > 0 and k > 0 and first - k < 40:  # arguments over several lines
+            k -= 1
+            depth += lines[k].count(")") - lines[k].count("(")
+        s = lines[k].strip()
+        if not s.startswith("@") or s.startswith("@interface") or depth or lines[first - 2].rstrip().endswith((";", "{", "}")):
+            return first
+        first = k + 1
+    return first
+
+
 def extract(text: str, language: str | None) -> list[Definition]:
     """The definitions of a text in order of their start; none for languages without rules."""
     if not text or language is None:
@@ -158,6 +175,7 @@ def extract(text: str, language: str | None) -> list[Definition]:
     clean = blanked(text, noise)
     starts = [0] + [m.end() for m in re.finditer("\n", text)]
     closes = None if language in _KEYWORD_BLOCKS else _brackets(clean)
+    lines = clean.split("\n")
     seen: dict[tuple[str, int], Definition] = {}
     for kind, rule in _RULES[language]:
         for m in rule.finditer(clean):
@@ -167,6 +185,8 @@ def extract(text: str, language: str | None) -> list[Definition]:
             begin = m.start() + len(m[0]) - len(m[0].lstrip(" \t\n;}"))
             end = _keyword_end(clean, m.start(), language) if closes is None else _end(clean, m, closes)
             first, last = bisect_right(starts, begin), bisect_right(starts, end)
+            if language == "java":
+                first = _annotated_from(lines, first)
             seen.setdefault((name, first), Definition(name, label(kind), first, max(first, last)))
     return sorted(seen.values(), key=lambda d: (d.start_line, -d.end_line, d.name))
 
@@ -225,3 +245,32 @@ def symbols_of(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
     return files.where(F.col("path").isNotNull()).select("path", "lang", "text").mapInArrow(run, SCHEMA)
+
+
+def symbols_of_lines(lines: DataFrame, languages: DataFrame) -> DataFrame:
+    """The symbol table of files given as ``lines`` (path, line, content, each once) and ``languages`` (path, lang).
+
+    One shuffle brings a file's lines together in order; files stream through one at a time.
+    """
+    rows = lines.select("path", F.col("line").cast("int").alias("line"), F.coalesce("content", F.lit("")).alias("content")).unionByName(languages.select("path", F.lit(None).cast("int").alias("line"), F.col("lang").alias("content")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lang, held = None, None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = [(at, *d) for d in extract("\n".join(held), lang)] if lang else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _ARROW)], schema=_ARROW)
+
+        for batch in batches:
+            for path, line, content in zip(*(c.to_pylist() for c in batch.columns)):
+                if path != at:
+                    yield from flush()
+                    at, lang, held = path, None, []
+                if line is None:
+                    lang = content
+                else:
+                    held.append(content)
+        yield from flush()
+
+    return rows.where(F.col("path").isNotNull()).repartition("path").sortWithinPartitions("path", F.col("line").asc_nulls_first(), "content").mapInArrow(run, SCHEMA)

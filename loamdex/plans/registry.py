@@ -393,10 +393,10 @@ def events_debounce(spark: SparkSession, d: str) -> DataFrame:
 
 @_named("symbols_extracted")
 def symbols_extracted(spark: SparkSession, d: str) -> DataFrame:
-    """The symbol table made anew from the texts of all files with a known language."""
-    lang = read_table(spark, d, "files").where(F.col("lang").isNotNull()).groupBy("path").agg(F.max_by("lang", "mtime").alias("lang"))
-    text = corpus(spark, d).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n").alias("text"))
-    return extract.symbols_of(text.join(lang, "path"))
+    """The symbol table made anew from the texts of all files whose language is known by their row or extension."""
+    files = read_table(spark, d, "files").where(F.col("path").isNotNull())
+    lang = files.groupBy("path").agg(F.max_by("lang", "mtime").alias("lang")).select("path", F.coalesce("lang", scan.language(F.col("path"))).alias("lang"))
+    return extract.symbols_of_lines(corpus(spark, d), lang.where(F.col("lang").isNotNull()))
 
 
 def queries() -> dict[str, Query]:

@@ -143,6 +143,8 @@ def test_extract():
     java = extract.extract("package a;\npublic class Money {\n  // int no() {\n  public int total(int a) {\n    return a;\n  }\n  Money() { }\n}\nenum E { A }\nrecord P(int x) { }\n", "java")
     assert {(d.name, d.kind) for d in java} == {("Money", "class"), ("total", "method"), ("Money", "constructor"), ("E", "enum"), ("P", "record")}
     assert next(d for d in java if d.name == "total")[2:] == (4, 6)
+    noted = extract.extract('package a;\n@Foo(x = "(")\npublic @Bar final class A {\n  @Override public int f() { return g(1); }\n  @A\n  @B(c={1,\n 2})\n  A(int x) { super(x); }\n  int h() {\n    return f(1);\n  }\n}\n', "java")
+    assert [tuple(d) for d in noted] == [("A", "class", 2, 12), ("f", "method", 4, 4), ("A", "constructor", 5, 8), ("h", "method", 9, 11)]
     ts = extract.extract('export interface I {\n  a: string;\n}\nexport type T = "x";\nexport class C {\n  private m(a: number): void {\n  }\n}\nfunction f<T>(x: T) {\n}\n', "typescript")
     assert {(d.name, d.kind) for d in ts} == {("I", "interface"), ("T", "type"), ("C", "class"), ("m", "method"), ("f", "function")}
     js = extract.extract("export function* gen(a) {\n  yield 1;\n}\n", "javascript")
@@ -179,3 +181,10 @@ def test_symbol_bodies_of_all_kinds(spark, tmp_path):
     rows = [tuple(r) for r in registry.queries()["symbol_bodies_all"](spark, str(tmp_path)).collect()]
     assert len(rows) == len(want) and set(rows) == want
     assert [tuple(r) for r in registry.queries()["symbol_bodies"](spark, str(tmp_path)).collect()] == [("s/b.go", "T", 1, "type T struct {\n\tX int\n}")]
+
+
+def test_symbols_of_lines(spark):
+    lines = spark.createDataFrame([("a.py", 2, "    pass"), ("a.py", 1, "def f():"), ("b.go", 1, "func G() {}"), ("c.txt", 1, "def g():"), ("d.py", 1, None), (None, 1, "x")], "path string, line int, content string")
+    lang = spark.createDataFrame([("a.py", "python"), ("b.go", "go"), ("d.py", "python"), ("e.py", "python")], "path string, lang string")
+    assert sorted(map(tuple, extract.symbols_of_lines(lines, lang).collect())) == [("a.py", "f", "function", 1, 2), ("b.go", "G", "function", 1, 1)]
+    assert extract.symbols_of_lines(lines.limit(0), lang).count() == 0
