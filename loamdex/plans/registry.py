@@ -399,6 +399,12 @@ def symbols_extracted(spark: SparkSession, d: str) -> DataFrame:
     return extract.symbols_of_lines(corpus(spark, d), lang.where(F.col("lang").isNotNull()))
 
 
+@_named("symbols_confirmed", f"SELECT * FROM ({_SYMBOLS}) WHERE path IN (SELECT path FROM lines_fts WHERE path IS NOT NULL)")
+def symbols_confirmed(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the symbol table that extraction gives again; all of files that still have lines, if nothing is missed."""
+    return symbols_extracted(spark, d).join(_symbols(spark, d), ["path", "name", "kind", "start_line", "end_line"], "left_semi").distinct()
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

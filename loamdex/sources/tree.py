@@ -1,7 +1,8 @@
 """Source trees as a Spark data source: a row for each file, decoded on the executors.
 
-``spark.read.format("source_tree").load(root)``, after ``register``. One partition for
-each top-level entry. Folders are pruned while walking; unlike Spark's own file
+``spark.read.format("source_tree").load(root)``, after ``register``. Folders are split
+into their files and their subfolders, widest first, until there are ``parts`` (64)
+partitions, so a tree below one large folder is read by many tasks, too. Folders are pruned while walking; unlike Spark's own file
 sources it sees names with a leading underscore or dot, and keeps the exact mtime.
 """
 
@@ -69,8 +70,10 @@ def decode(data: bytes) -> str | None:
 
 
 class _Part(InputPartition):
-    def __init__(self, entry: str):
-        self.entry = entry
+    """A folder relative to the root: all below it, or the files in it alone."""
+
+    def __init__(self, folder: str, deep: bool):
+        self.folder, self.deep = folder, deep
 
 
 class _Reader(DataSourceReader):
@@ -79,17 +82,28 @@ class _Reader(DataSourceReader):
         patterns = [p for p in options.get("ignore", "").split("\n") if p.strip()]
         if options.get("usegitignore", "true").lower() in ("1", "true", "yes", "on"):
             patterns += read_gitignore(self.root)
-        self.patterns = patterns
+        self.patterns, self.parts = patterns, int(options.get("parts", 64))
 
     def partitions(self):
-        return [_Part(e) for e in sorted(os.listdir(self.root))] or [_Part("")]
+        walk, split, waiting = Walk(self.patterns), [], [""]
+        while waiting and len(split) + len(waiting) < self.parts:
+            folder = waiting.pop(0)
+            split.append(folder)
+            try:
+                with os.scandir(os.path.join(self.root, folder)) as entries:
+                    names = sorted(e.name for e in entries if e.is_dir(follow_symlinks=False))
+            except OSError:
+                continue
+            below = [f"{folder}/{n}" if folder else n for n in names]
+            waiting += [b for b, n in zip(below, names) if walk.folder(n, b)]
+        return [_Part(f, False) for f in split] + [_Part(f, True) for f in waiting]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         walk = Walk(self.patterns)
         schema = pa.schema([("path", pa.string()), ("mtime", pa.float64()), ("size", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
         rows: list[tuple] = []
         held = 0
-        for path in self._paths(partition.entry, walk):
+        for path in self._paths(partition, walk):
             full = os.path.join(self.root, path)
             try:
                 st = os.stat(full)
@@ -107,20 +121,12 @@ class _Reader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    def _paths(self, entry: str, walk: Walk) -> Iterator[str]:
-        top = os.path.join(self.root, entry)
-        if not entry:
-            return
-        if os.path.isfile(top):
-            yield entry
-            return
-        if not walk.folder(entry, entry):
-            return
-        for folder, names, files in os.walk(top):
+    def _paths(self, part: _Part, walk: Walk) -> Iterator[str]:
+        for folder, names, files in os.walk(os.path.join(self.root, part.folder)):
             rel = os.path.relpath(folder, self.root).replace(os.sep, "/")
-            names[:] = sorted(n for n in names if walk.folder(n, f"{rel}/{n}"))
-            for f in sorted(files):
-                yield f"{rel}/{f}"
+            below = "" if rel == "." else rel + "/"
+            names[:] = sorted(n for n in names if walk.folder(n, below + n)) if part.deep else []
+            yield from (below + f for f in sorted(files))
 
 
 class SourceTree(DataSource):

@@ -19,6 +19,8 @@ def test_tree(spark, tmp_path):
     rows = {r["path"]: r for r in spark.read.format("source_tree").load(str(root)).collect()}
     assert sorted(rows) == [".github/ci.yml", "README.md", "bad.txt", "bin.py", "long.js", "src/A.java", "src/__init__.py"]
     assert rows["bin.py"]["text"] is None and rows["long.js"]["text"] is None and rows["bad.txt"]["text"] == "a�b" and rows["src/A.java"]["lang"] == "java"
+    for parts in (1, 2, 3, 100):
+        assert sorted(r["path"] for r in spark.read.format("source_tree").option("parts", parts).load(str(root)).collect()) == sorted(rows)
     assert rows["src/A.java"]["mtime"] == os.stat(root / "src/A.java").st_mtime
 
 
