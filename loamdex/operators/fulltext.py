@@ -8,7 +8,7 @@ whatever the path filter. Ties are in order of path and line.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -102,7 +102,9 @@ def _near_counts(sizes: list[int], distance: int):
 class Compiled:
     """A query as columns: the counts to add to lines, whether they match, and the phrases that score."""
 
-    def __init__(self, tree):
+    def __init__(self, tree, count: Callable[[Phrase], Column] = count_of, places: Callable[[Phrase], Column] = positions):
+        """``count`` and ``places`` say how often and where a phrase stands in a row."""
+        self.count, self.places = count, places
         self.phrases: list[tuple[Phrase, str]] = []
         self.columns: dict[str, Column] = {}
         self.later: dict[str, Column] = {}
@@ -112,7 +114,7 @@ class Compiled:
     def _phrase(self, p: Phrase) -> str:
         name = f"_n{len(self.phrases)}"
         self.phrases.append((p, name))
-        self.columns[name] = count_of(p)
+        self.columns[name] = self.count(p)
         return name
 
     def _walk(self, node, above: Column, scores: bool) -> Column:
@@ -125,7 +127,7 @@ class Compiled:
                 hit = hit & (F.col(n) > 0)
             if len(names) > 1:
                 near = f"_near{len(self.later)}"
-                places = [positions(p) for p in node.phrases]
+                places = [self.places(p) for p in node.phrases]
                 none = F.array(*[F.lit(0) for _ in names])
                 self.later[near] = F.when(hit, _near_counts([len(p.tokens) for p in node.phrases], node.distance)(*places)).otherwise(none)
                 hit = F.get(F.col(near), F.lit(0)) > 0

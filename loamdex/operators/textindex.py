@@ -7,8 +7,7 @@
 
 A query reads the postings of its tokens. From them the matching lines get their
 counts as a scan of all lines would: single tokens by their stored count, phrases,
-``^`` and ``NEAR`` from a line that is rebuilt with the query's tokens in their places
-and nothing in between. Document frequencies are counted over those lines, which are
+``^`` and ``NEAR`` from the stored places of their tokens. Document frequencies are counted over those lines, which are
 all that hold a phrase; the number of lines and their mean length come from the
 totals, so scores are those of a scan.
 
@@ -44,9 +43,41 @@ def totals_of(lines: DataFrame) -> DataFrame:
     return lines.groupBy("path").agg(F.count("*").alias("lines"), F.sum(F.col("dl").cast("bigint")).alias("tokens"))
 
 
-def _holds(p: Phrase, k: int) -> Column:
-    t = p.tokens[k]
-    return F.col("token").startswith(t) if p.prefix and k == len(p.tokens) - 1 else F.col("token") == t
+#: A token of a query, and whether it is a prefix.
+Atom = tuple[str, bool]
+
+
+def _atoms(p: Phrase) -> list[Atom]:
+    return [(t, p.prefix and k == len(p.tokens) - 1) for k, t in enumerate(p.tokens)] if p.searched else []
+
+
+def _holds(atom: Atom) -> Column:
+    return F.col("token").startswith(atom[0]) if atom[1] else F.col("token") == atom[0]
+
+
+class _Places:
+    """The columns with the places of a query's tokens in a line, and what phrases make of them."""
+
+    def __init__(self) -> None:
+        self.names: dict[Atom, str] = {}
+
+    def of(self, p: Phrase) -> Column:
+        columns = [F.col(self.names.setdefault(a, f"_p{len(self.names)}")) for a in _atoms(p)]
+        if not columns:
+            return F.array().cast("array<int>")
+
+        def begins(x: Column) -> Column:
+            ok = F.lit(True)
+            for k, c in enumerate(columns[1:], 1):
+                ok = ok & F.array_contains(c, x + k)
+            return ok
+
+        if p.first:
+            return F.when(F.array_contains(columns[0], F.lit(0)) & begins(F.lit(0)), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+        return F.filter(columns[0], begins) if len(columns) > 1 else columns[0]
+
+    def count(self, p: Phrase) -> Column:
+        return F.size(self.of(p))
 
 
 @dataclass
@@ -66,29 +97,32 @@ class TextIndex:
         """One row: number of lines and of tokens."""
         return self.totals.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("_N"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("_len"))
 
-    def counted(self, query: Compiled) -> DataFrame:
-        """(path, line, dl) and the counts of the query's phrases, for each line that has one of its tokens."""
-        wanted, plain = F.lit(False), not query.later
-        for p, _ in query.phrases:
-            plain = plain and len(p.tokens) == 1 and not p.first
-            if p.searched:
-                for k in range(len(p.tokens)):
-                    wanted = wanted | _holds(p, k)
+    def counted(self, query: Compiled, places: _Places) -> DataFrame:
+        """(path, line, dl) and the counts of the query's phrases, for each line that has all tokens of one of them."""
+        atoms = sorted({a for p, _ in query.phrases for a in _atoms(p)})
+        wanted, whole = F.lit(False), F.lit(False)
+        for a in atoms:
+            wanted = wanted | _holds(a)
         rows = self.postings.where(wanted)
-        if plain:
-            counts = [F.sum(F.when(_holds(p, 0) & F.lit(p.searched), F.col("tf")).otherwise(0)).cast("int").alias(name) for p, name in query.phrases]
+        if not query.later and all(len(p.tokens) == 1 and not p.first for p, _ in query.phrases):
+            counts = [F.sum(F.when(_holds((p.tokens[0], p.prefix)) & F.lit(p.searched), F.col("tf")).otherwise(0)).cast("int").alias(name) for p, name in query.phrases]
             return rows.groupBy("path", "line", "dl").agg(*counts)
-        entries = F.flatten(F.transform(F.collect_list(F.struct("token", "positions")), lambda e: F.transform(e["positions"], lambda i: F.struct(i, e["token"]))))
-        rebuilt = F.transform(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: F.coalesce(F.element_at(F.col("_at"), i), F.lit("")))
-        lines = rows.groupBy("path", "line", "dl").agg(F.map_from_entries(entries).alias("_at")).withColumn("tokens", rebuilt).drop("_at")
-        return lines.withColumns(query.columns)
+        for p, _ in query.phrases:
+            if _atoms(p):
+                all_of = F.lit(True)
+                for a in _atoms(p):
+                    all_of = all_of & (F.size(places.names[a]) > 0)
+                whole = whole | all_of
+        found = rows.groupBy("path", "line", "dl").agg(*[F.flatten(F.collect_list(F.when(_holds(a), F.col("positions")))).alias(places.names[a]) for a in atoms])
+        return found.where(whole).withColumns(query.columns)
 
     def ranked(self, text: str) -> DataFrame:
         """(path, line, score) of all matching lines, unordered."""
-        query = Compiled(understood(text))
-        if not query.phrases:
+        places = _Places()
+        query = Compiled(understood(text), places.count, places.of)
+        if not any(_atoms(p) for p, _ in query.phrases):
             return self.lines.where(F.lit(False)).select("path", "line", F.lit(0.0).alias("score"))
-        counted = self.counted(query)
+        counted = self.counted(query, places)
         held = counted.agg(*[F.sum((F.col(n) > 0).cast("bigint")).alias(f"{n}_df") for _, n in query.phrases], F.lit(0).alias("_one"))
         rows = counted.crossJoin(F.broadcast(self.statistics())).crossJoin(F.broadcast(held))  # a row each
         if query.later:
