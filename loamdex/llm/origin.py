@@ -226,8 +226,10 @@ def judged(lines: DataFrame, rare: int = RARE, contained: float = CONTAINED) ->
         _named(F.max(F.struct(F.coalesce("home", F.lit("")).alias("k"), *who))),
         _named(F.min(F.struct(F.xxhash64("content").alias("k"), *who))),
     )
-    groups = index.groupBy("hash").agg(F.count("*").alias("n"), stands.alias("stands")).where("n > 1")
-    held = materialize(index.drop("copies").join(groups, "hash"), "p1-held")
+    # Most lines are of one content; who stands for a line is asked of the others only.
+    several = index.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    common = materialize(index.join(several, "hash"), "p1-common")
+    held = materialize(common.drop("copies").join(common.groupBy("hash").agg(stands.alias("stands")), "hash"), "p1-held")
 
     # A copy needs ``need`` of its rare lines in one partner, or the share of all its lines.
     rarely = F.coalesce(F.sum(F.when(F.col("n") <= rare, 1)), F.lit(0))
