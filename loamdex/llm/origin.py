@@ -9,7 +9,7 @@
    rare lines in the index asks no further; the others are counted, exactly, against
    the contents that stand for their lines (four a line: the one with the most
    copies, the first and last by service, the least by hash), then, if those show no
-   copy, against every holder of the rarest lines a copy cannot do without one of.
+   copy, against every holder of three of the rarest lines a copy cannot do without.
    Lines that are not rare count only where two contents have ``CONTAINED`` of all
    their lines in common, each of its own; such partners come from the four that
    stand for a line, so a library that a third of all files have edited is found
@@ -43,6 +43,8 @@ from loamdex.tables import materialize
 RARE = 1000
 CONTAINED = 0.9
 LEAST_SHARED = 6
+#: So many of the lines it asks for a partner must have, at least; chance partners seldom do.
+HITS = 3
 
 SOURCE = {"py", "pyi", "java", "kt", "ts", "tsx", "js", "jsx", "mjs", "cjs", "go", "rs", "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "lua", "css", "scss", "sql", "swift", "scala", "m", "vue"}
 LOCKS = re.compile(r"(?i)(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|[\w.-]*[.-]lock(?:\.json|\.ya?ml)?|[\w.-]+\.lock(?:b|file)?|go\.sum|composer\.lock|pnpm-lock\.yaml|Gemfile\.lock|Package\.resolved)$")
@@ -246,11 +248,11 @@ def judged(lines: DataFrame, rare: int = RARE, contained: float = CONTAINED) ->
     first = materialize(_counted(proposed, held, able, contents, rare), "p1-first")
     found = first.where(F.col("containment") >= contained).select("content").distinct()
 
-    # A content with ``need`` of its rare lines in a partner has any (rare_of - need + 1) of them not all outside of it.
-    left = able.join(found, "content", "left_anti").select("content", "home", (F.col("have_rare") - need + 1).alias("ask"))
+    # A content with ``need`` of its rare lines in a partner has ``HITS`` of any (rare_of - need + HITS) of them in it.
+    left = able.join(found, "content", "left_anti").select("content", "home", (F.col("have_rare") - need + HITS).alias("ask"))
     order = Window.partitionBy("content").orderBy("n", "hash")
-    asks = left.where(F.col("ask") > 0).join(line_of.where(F.col("n") <= rare), "content").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("ask"))
-    others = asks.select("hash", "content", "home").join(held.select("hash", F.col("content").alias("partner"), F.col("home").alias("partner_home")), "hash").where((F.col("content") != F.col("partner")) & elsewhere).select("content", "partner").distinct()
+    asks = left.where(F.col("ask") >= HITS).join(line_of.where(F.col("n") <= rare), "content").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("ask"))
+    others = asks.select("hash", "content", "home").join(held.select("hash", F.col("content").alias("partner"), F.col("home").alias("partner_home")), "hash").where((F.col("content") != F.col("partner")) & elsewhere).groupBy("content", "partner").agg(F.count("*").alias("hits")).where(F.col("hits") >= HITS).select("content", "partner")
     second = _counted(others, held, able, contents, rare)
 
     best = first.unionByName(second).groupBy("content").agg(F.max(F.struct("containment", "shared")).alias("best"))
