@@ -248,14 +248,15 @@ def symbols_of(files: DataFrame) -> DataFrame:
 
 
 def symbols_of_lines(lines: DataFrame, languages: DataFrame) -> DataFrame:
-    """The symbol table of files given as ``lines`` (path, line, content, each once) and ``languages`` (path, lang).
+    """The symbol table of files given as ``lines`` (path, line, content) and ``languages`` (path, lang).
 
-    One shuffle brings a file's lines together in order; files stream through one at a time.
+    One shuffle brings a file's lines together in order; equal rows count once, and
+    files stream through one at a time.
     """
     rows = lines.select("path", F.col("line").cast("int").alias("line"), F.coalesce("content", F.lit("")).alias("content")).unionByName(languages.select("path", F.lit(None).cast("int").alias("line"), F.col("lang").alias("content")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, lang, held = None, None, []
+        at, lang, held, last = None, None, [], None
 
         def flush() -> Iterator[pa.RecordBatch]:
             found = [(at, *d) for d in extract("\n".join(held), lang)] if lang else []
@@ -266,11 +267,12 @@ def symbols_of_lines(lines: DataFrame, languages: DataFrame) -> DataFrame:
             for path, line, content in zip(*(c.to_pylist() for c in batch.columns)):
                 if path != at:
                     yield from flush()
-                    at, lang, held = path, None, []
+                    at, lang, held, last = path, None, [], None
                 if line is None:
                     lang = content
-                else:
+                elif (line, content) != last:
                     held.append(content)
+                    last = (line, content)
         yield from flush()
 
     return rows.where(F.col("path").isNotNull()).repartition("path").sortWithinPartitions("path", F.col("line").asc_nulls_first(), "content").mapInArrow(run, SCHEMA)

@@ -396,7 +396,8 @@ def symbols_extracted(spark: SparkSession, d: str) -> DataFrame:
     """The symbol table made anew from the texts of all files whose language is known by their row or extension."""
     files = read_table(spark, d, "files").where(F.col("path").isNotNull())
     lang = files.groupBy("path").agg(F.max_by("lang", "mtime").alias("lang")).select("path", F.coalesce("lang", scan.language(F.col("path"))).alias("lang"))
-    return extract.symbols_of_lines(corpus(spark, d), lang.where(F.col("lang").isNotNull()))
+    lines = read_table(spark, d, "lines_fts").where(F.col("path").isNotNull() & F.col("line").isNotNull())
+    return extract.symbols_of_lines(lines, lang.where(F.col("lang").isNotNull()))
 
 
 @_named("symbols_confirmed", f"SELECT * FROM ({_SYMBOLS}) WHERE path IN (SELECT path FROM lines_fts WHERE path IS NOT NULL)")

@@ -70,10 +70,11 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()``, but the result can be scanned with
-    column pruning and survives the loss of executors.
+    column pruning and survives the loss of executors. Tables of an application stand
+    in a folder of its id, to be deleted when it has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loamdex/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/loamdex/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 

@@ -184,7 +184,7 @@ def test_symbol_bodies_of_all_kinds(spark, tmp_path):
 
 
 def test_symbols_of_lines(spark):
-    lines = spark.createDataFrame([("a.py", 2, "    pass"), ("a.py", 1, "def f():"), ("b.go", 1, "func G() {}"), ("c.txt", 1, "def g():"), ("d.py", 1, None), (None, 1, "x")], "path string, line int, content string")
+    lines = spark.createDataFrame([("a.py", 2, "    pass"), ("a.py", 1, "def f():"), ("a.py", 1, "def f():"), ("b.go", 1, "func G() {}"), ("c.txt", 1, "def g():"), ("d.py", 1, None), (None, 1, "x")], "path string, line int, content string")
     lang = spark.createDataFrame([("a.py", "python"), ("b.go", "go"), ("d.py", "python"), ("e.py", "python")], "path string, lang string")
     assert sorted(map(tuple, extract.symbols_of_lines(lines, lang).collect())) == [("a.py", "f", "function", 1, 2), ("b.go", "G", "function", 1, 1)]
     assert extract.symbols_of_lines(lines.limit(0), lang).count() == 0
