@@ -19,6 +19,7 @@ e '...', y '..', w ':=', h '<-', L end of line, E folded operand, G type argumen
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 NAMES = r"[^\W\d][\w$]*|[$][\w$]*"
 _OPERATORS = {
@@ -33,6 +34,8 @@ _KEYWORD_BASE = 0x80
 _STARTS = {"(": "\x01", "[": "\x02", "{": "\x03"}
 _SHAPES = {"(": 0, "[": 1, "{": 2}
 _CLOSES = {")": "(", "]": "[", "}": "{"}
+#: Tokens after which a file is asked, before the others are cut, whether it can begin so.
+_FIRST = 24
 
 
 class _Codes(dict):
@@ -75,6 +78,7 @@ class Grammar:
         self._generics = generics
         self.known: dict[str, str] = {}
         self.held = 0
+        self.aliens: re.Pattern | None = None
         self.codes = _Codes(self.classify, {**_OPERATORS, **{c: c for c in "&!~=:;,@#<>()[]{}\n"}, **self.keywords, "\n": "L"})
 
     def folded(self, shape: str, name: str | None = None, without: str | None = None) -> str:
@@ -157,14 +161,35 @@ class Grammar:
             content, n = self.generic.subn("G", content)
         return content
 
-    def encode(self, text: str) -> str:
-        code = "".join(map(self.codes.__getitem__, self.token.findall(text)))
-        return self.lines(self, code) if self.lines else code
+    def encode(self, tokens: list[str]) -> str:
+        return "".join(map(self.codes.__getitem__, tokens))
+
+    def alien(self) -> re.Pattern:
+        """Tokens that stand in no rule, so in no file."""
+        used = "".join([*map(self.source, self.rules), *self.keywords.values(), self._generics or "", "()[]{}<>L"])
+        if "[^\x00]" in used:  # a macro is given any tokens
+            return re.compile(_JUNK)
+        return re.compile(f"[^{re.escape(''.join(sorted(set(used))))}]")
+
+    def begins(self, code: str) -> bool:
+        """False if no file has or begins with the tokens of ``code``."""
+        if self.aliens is None:
+            self.aliens = self.alien()
+        if self.aliens.search(code):
+            return False
+        return self.pattern("begin").match(self.lines(self, code) if self.lines else code) is not None
 
     def parses(self, text: str) -> bool:
-        code = self.encode(text)
-        if _JUNK in code:
+        first = list(islice(self.token.finditer(text), _FIRST))
+        code = self.encode([m[0] for m in first])
+        if not self.begins(code):
             return False
+        if len(first) == _FIRST:
+            code += self.encode(self.token.findall(text, first[-1].end()))
+            if not self.begins(code):
+                return False
+        if self.lines:
+            code = self.lines(self, code)
         parts: list[str] = []
         stack: list[tuple[str, list[str]]] = []
         for piece in re.split(r"([()\[\]{}])", code):
@@ -197,7 +222,7 @@ class Grammar:
 _JAVA = Grammar(
     "java",
     "abstract assert boolean break byte case catch char class continue default do double else enum extends final finally float for if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null record permits yield sealed",
-    r'"""[\s\S]*?"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.[0-9a-fA-F]*)+\'|//[^\n]*|/\*[\s\S]*?\*/|\b(?:record(?=\s+[A-Z]\w*\s*[(<])|yield(?=\s+[\w"(])|sealed(?=\s+(?:class|interface|abstract|public))|permits(?=\s+\w+[\s,{]))\b|non-sealed|(?<![\w.$])(?:record|yield|sealed|permits)(?![\w$])',
+    r'"""[\s\S]*?"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)+\'|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|\b(?:record(?=\s+[A-Z]\w*\s*[(<])|yield(?=\s+[\w"(])|sealed(?=\s+(?:class|interface|abstract|public))|permits(?=\s+\w+[\s,{]))\b|non-sealed|(?<![\w.$])(?:record|yield|sealed|permits)(?![\w$])',
     {
         "prim": "'boolean'|'byte'|'char'|'double'|'float'|'int'|'long'|'short'|'void'",
         "anno": "@i(?:di)*(?:{args})?",
@@ -231,6 +256,7 @@ _JAVA = Grammar(
         "expr_": "{ex}",
         "empty_": "",
         "file_": "(?:(?:{anno})*'package'{name};)?(?:'import''static'?{name}(?:dm)?;|;)*(?:{typedecl};?)*",
+        "begin": "(?:;|'package'{name};|'import''static'?{name}(?:dm)?;)*(?:$|[@'public''private''protected''static''final''abstract''native''synchronized''transient''volatile''strictfp''default''sealed''class''interface''enum''record']|(?:'package'|'import''static'?)(?:{name}(?:dm?)?)?$)",
     },
     {"(": ["args", "pexpr", "params", "cast", "forh", "res"], "[": ["expr", "empty"], "{": ["block", "cbody", "ebody", "init", "sw"]},
     {"block": "primary_>E", "sw": "primary_>E", "init": "primary_>E", "args": "primary_>E", "pexpr": "primary_>E", "forh": "primary_>E", "res": "primary_>E", "expr": "primary_>E"},
@@ -253,7 +279,7 @@ def _script_lines(g: Grammar, code: str) -> str:
 _SCRIPT_WORDS = "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof let new return super switch this throw try typeof var void while with yield async await of static get set from as null true false undefined"
 _TYPE_WORDS = " type interface enum implements abstract public private protected readonly declare namespace module keyof infer is asserts override unique satisfies"
 _SCRIPT_TOKENS = (
-    r'"(?:[^"\\\n]|\\[\s\S])*"|\'(?:[^\'\\\n]|\\[\s\S])*\'|`(?:[^`\\]|\\[\s\S])*`|//[^\n]*|/\*[\s\S]*?\*/|(?<![\w$)\]}])\#!\S[^\n]*'
+    r'"(?:[^"\\\n]|\\[\s\S])*"|\'(?:[^\'\\\n]|\\[\s\S])*\'|`(?:[^`\\]|\\[\s\S])*`|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|(?<![\w$)\]}])\#!\S[^\n]*'
     r"|(?:(?<=[=(,:\[!&|?{};+>\n])|(?<=[=(,:\[!&|?{};+>] )|(?<=return )|(?<=case ))/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[dgimsuvy]*"
     r"|#(?=[A-Za-z_$])[\w$]+"
 )
@@ -308,6 +334,7 @@ _SCRIPT = {
     "pmods": "",
     "forh_": "(?:{vars}|{exs})?;(?:{exs})?;(?:{exs})?|(?:(?:'const'|'let'|'var'){bind}|{opd})(?:'of'|'in'){exs}",
     "file_": "(?>{stmt})*",
+    "begin": "(?![^@]*?ii)",  # names stand side by side only after a decorator
 }
 
 
@@ -373,7 +400,7 @@ def _go_lines(g: Grammar, code: str) -> str:
 _GO = Grammar(
     "go",
     "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
-    r'"(?:[^"\\\n]|\\.)*"|`[^`]*`|\'(?:[^\'\\\n]|\\[^\n])[^\'\n]*\'|//[^\n]*|/\*[\s\S]*?\*/|~',
+    r'"(?:[^"\\\n]|\\.)*"|`[^`]*`|\'(?:[^\'\\\n]|\\[^\n])[^\'\n]*\'|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|~',
     {
         "qual": "i(?:di)?(?:{targs}(?!{empty}))?",
         "pre": "(?:[m]|{empty}|{idx}|'chan'h?|h'chan'|'map'{idx}|{arre})",
@@ -384,8 +411,8 @@ _GO = Grammar(
         "post": "(?:d(?:i|{ptype})|{args}|{idx}|{slice})",
         "primary_": "(?:{flit}|{clit}|(?<!'func')(?<!'func'{params})(?<!'type')(?<!'var')(?<!'const')i(?:di)*(?:{args}|{idx}|{slice}|d{ptype}|{targs}{args})|(?:{empty}|{idx}|'map'{idx}){pre}*(?:i(?:di)?|'interface'{ibody}){args}|0|s|c|t|(?<!'func')(?<!'func'i)(?<!{params})(?<!{params}i){pexpr}){post}*",
         "unary": "[p!x&mh]*(?:i(?:di)?{lit}|i(?:di)*|E|{pexpr}){post}*|'chan'{type}|{type}",
-        "ex": "(?:{unary})(?:(?:[pm%&oxb]|<|>{1,2})(?:{unary}))*",
-        "exs": "{ex}(?:,{ex})*",
+        "ex": "(?>(?:{unary})(?:[pm%&oxb]|<|>{1,2}))*(?:{unary})",
+        "exs": "(?>{ex},)*{ex}",
         "simple": "{exs}(?:(?:[=aw]){exs}|u|h{ex})?",
         "cond": "(?:(?:{simple})?;)?(?:{simple})?",
         "spec": "i(?:,i)*(?:{type})?(?:={exs})?",
@@ -394,10 +421,10 @@ _GO = Grammar(
         "block_": ";*(?:(?>{stmt});+)*(?:{stmt})?;*",
         "sw_": "(?:(?:'case'(?:{simple}|{types})|'default'):;*(?:(?>{stmt});+)*(?:{stmt})?;*)*",
         "types": "{type}(?:,{type})*",
-        "lit_": ";*(?:(?:{ex}|{lit}|{block})(?::(?:{ex}|{lit}))?(?:,(?:{ex}|{lit})(?::(?:{ex}|{lit}))?)*,?)?",
+        "lit_": ";*(?:(?>(?:{ex}|{lit}|{block})(?=[:,]|$))(?::(?>(?:{ex}|{lit})(?=,|$)))?(?:,(?>(?:{ex}|{lit})(?=[:,]|$))(?::(?>(?:{ex}|{lit})(?=,|$)))?)*,?)?",
         "sbody_": ";*(?:(?:i(?:,i)*{type}|m?i(?:di)?{targs}?)[st]?(?:;+|$))*",
         "ibody_": ";*(?:(?:i{params}(?:{res})?|~?{type}(?:o~?{type})*)(?:;+|$))*",
-        "args_": "(?:{type}|e?{ex}e?)(?:,{ex}e?)*,?|",
+        "args_": "(?>(?:{type}|e?{ex}e?)(?=,|$))(?:,(?>{ex}e?(?=,|$)))*,?|",
         "pexpr_": "{ex}",
         "ptype_": "{type}|'type'",
         "params_": "(?:(?:i(?:,i)*)?e?{type}(?:,(?:i(?:,i)*)?e?{type})*,?)?",
@@ -411,6 +438,7 @@ _GO = Grammar(
         "arre_": "e",
         "top": "'func'(?:{params})?i{targs}?{params}(?:{res})?{block}?|'var'(?:{spec}|{specs})|'const'(?:{spec}|{specs})|'type'(?:{tspec}|{tspecs})",
         "file_": ";*'package'i;+(?:'import'(?:[id]?[st]|{imps});+)*(?:(?>{top})(?:;+|$))*",
+        "begin": ";*(?:$|'package'(?:$|i(?:$|;)))",
     },
     {"(": ["args", "pexpr", "params", "ptype", "specs", "tspecs", "imps"], "[": ["idx", "targs", "slice", "empty", "arre"], "{": ["block", "lit", "sbody", "ibody", "sw"]},
     dict.fromkeys(("block", "sw", "lit", "args", "pexpr", "slice", "idx", "specs", "file"), "primary_>E"),
@@ -423,7 +451,7 @@ _GO.classes["onlylit"] = _GO.folded("{", "lit", "block")
 _RUST = Grammar(
     "rust",
     "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while union",
-    r'//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*[\s\S]*?\*/)*\*/|b?r(\#*)"[\s\S]*?"(?:\#*)|[bc]?"(?:[^"\\]|\\[\s\S])*"|b?\'(?:[^\'\\\n]|\\(?:[^u\n]|u\{[^}\n]*\})[0-9a-fA-F]*)\'|\'[a-z_]\w*(?!\')|r\#[a-z]\w*|union(?=\s+[A-Z])'.replace("(\\#*)", "(?:\\#*)"),
+    r'//[^\n]*|/\*(?>(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?>[\s\S]*?\*/))*)\*/|b?r(\#*)"[\s\S]*?"(?:\#*)|[bc]?"(?:[^"\\]|\\[\s\S])*"|b?\'(?:[^\'\\\n]|\\(?:[^u\n]|u\{[^}\n]*\})[0-9a-fA-F]*)\'|\'[a-z_]\w*(?!\')|r\#[a-z]\w*|union(?=\s+[A-Z])'.replace("(\\#*)", "(?:\\#*)"),
     {
         "seg": "(?:i|'self'|'Self'|'super'|'crate')",
         "path": "(?:n)?{seg}(?:n?G|n{seg})*(?:{ptypes}(?:r{tsimple})?)?",
@@ -464,17 +492,18 @@ _RUST = Grammar(
         "uses_": "(?:{useend}(?:,{useend})*,?)?",
         "any_": "[^\x00]*",
         "args_": "(?:{ex}(?:,{ex})*,?)?",
-        "tpat_": "(?:{pat}(?:,{pat})*,?)?",
+        "tpat_": "(?:(?>{pat}(?=,|$))(?:,(?>{pat}(?=,|$)))*,?)?",
         "params_": "(?:{attr}*(?:(?:&l?)?'mut'?'self'(?::{type})?|(?:{pat}:)?{type}|e)(?:,{attr}*(?:(?:{pat}:)?{type}|e))*,?)?",
         "ptypes_": "(?:(?:i:)?{type}(?:,(?:i:)?{type})*,?)?",
         "pfields_": "(?:{attr}*{vis}{type}(?:,{attr}*{vis}{type})*,?)?",
         "tt_": "[^\x00]*",
         "arr_": "(?:{ex}(?:,{ex})*,?|{ex};{ex})?",
         "index_": "{ex}",
-        "barr_": "{type}(?:;{exfull})?|(?:{pat}(?:,{pat})*,?)?",
+        "barr_": "{type}(?:;{exfull})?|(?:(?>{pat}(?=,|$))(?:,(?>{pat}(?=,|$)))*,?)?",
         "battr_": "{path}(?:={exfull}|{tt}|{tb}|{tk})?|'unsafe'{tt}",
         "tb_": "[^\x00]*",
         "file_": "(?:{attr})*(?>{item})*",
+        "begin": "$|['pub''const''async''unsafe''extern''fn''struct''union''enum''trait''impl''mod''use''type''static'<]|#!?(?:$|\\[)|n?(?:$|{seg}(?:n{seg})*(?:$|n$|n?<|!))",
     },
     {"(": ["args", "tpat", "params", "ptypes", "pfields", "tt"], "[": ["arr", "index", "barr", "battr", "tb"], "{": ["block", "mbody", "fields", "ebody", "ibody", "sinit", "spat", "uses", "any"]},
     dict.fromkeys(("block", "mbody", "args", "arr", "index", "sinit"), "primary_>E ctl_>K") | dict.fromkeys(("ebody", "ibody", "barr", "battr"), "ctl_>K"),
@@ -493,7 +522,7 @@ _RUST.classes["onlysinit"] = _RUST.folded("{", "sinit", "block")
 _C = Grammar(
     "c",
     "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Bool _Static_assert",
-    r'(?:^[ \t]*\#[ \t]*(?:include|define|undef|if|ifdef|ifndef|elif|else|endif|pragma|error|warning|line)\b(?:[^\n\\/]|\\(?:\r?\n|.)|/(?!\*)|/\*[\s\S]*?\*/)*)|[LuU8]{0,2}"(?:[^"\\\n]|\\[\s\S])*"|[LuU]?\'(?:[^\'\\\n]|\\[^\n])+\'|//(?:[^\n\\]|\\[\s\S])*|/\*[\s\S]*?\*/',
+    r'(?:^[ \t]*\#[ \t]*(?:include|define|undef|if|ifdef|ifndef|elif|else|endif|pragma|error|warning|line)\b(?:[^\n\\/]|\\(?:\r?\n|.)|/(?!\*)|/\*[\s\S]*?\*/)*)|[LuU8]{0,2}"(?:[^"\\\n]|\\[\s\S])*"|[LuU]?\'(?:[^\'\\\n]|\\[^\n])+\'|//(?:[^\n\\]|\\[\s\S])*|/\*[\s\S]*?(?:\*/|\Z)',
     {
         "prim": "'char'|'double'|'float'|'int'|'long'|'short'|'signed'|'unsigned'|'void'|'_Bool'",
         "qual": "'const'|'volatile'|'static'|'extern'|'inline'|'register'|'restrict'|'auto'|'typedef'",
@@ -509,14 +538,14 @@ _C = Grammar(
         "unary": "{pre}*(?:i(?:[dr]i)*|E|0|c|s+|{pexpr}){post}*",
         "chain": "(?:{unary})(?:(?:[pm%&oxb=a]|<|>{1,2})(?:{unary}))*",
         "ex": "{chain}(?:q{chain}:{chain})*",
-        "exs": "{ex}(?:,{ex})*",
+        "exs": "(?>{ex}(?=[,;]|$))(?:,(?>{ex}(?=[,;]|$)))*",
         "head": "(?:'if'E|'while'E|'for'{forh}|'switch'E|i:|'case'{ex}(?:e{ex})?:|'default':|(?:(?<=;)|(?<={block}))'else')",
         "stmt": "(?:{head}*(?:;|{block}|{decls};|{exs};|'return'(?:{exs})?;|'break';|'continue';|'goto'i;|'do'(?:{block}|{exs};)'while'E;))",
         "block_": "(?>{stmt})*(?:i:|'default':)?",
         "sbody_": "(?:{decls};|;)*",
         "ebody_": "(?:i(?:={ex})?(?:,i(?:={ex})?)*,?)?",
-        "linit_": "(?:(?:(?:di|{index})+=)?{exinit}(?:,(?:(?:di|{index})+=)?{exinit})*,?)?",
-        "args_": "(?:(?:{ex}|{specs}m*)(?:,(?:{ex}|{specs}m*))*)?",
+        "linit_": "(?:(?:(?:di|{index})+=)?(?>{exinit}(?=,|$))(?:,(?:(?:di|{index})+=)?(?>{exinit}(?=,|$)))*,?)?",
+        "args_": "(?:(?>(?:{ex}|{specs}m*)(?=,|$))(?:,(?>(?:{ex}|{specs}m*)(?=,|$)))*)?",
         "pexpr_": "{exs}",
         "params_": "(?:{specs}(?:(?:m|{qual})*(?:i|{pdtor})?(?:{index}|{params})*)(?:,{specs}(?:(?:m|{qual})*(?:i|{pdtor})?(?:{index}|{params})*))*(?:,e)?|e)?",
         "pdtor_": "(?:m|{qual})+i?(?:{index}|{params})*",
@@ -525,6 +554,7 @@ _C = Grammar(
         "index_": "(?:{exs})?|'static'?{ex}",
         "top": "{decls};|{specs}(?:m|{qual})*i{params}{block}|i{args};?|;|'extern's(?:{topblock}|(?={specs}))|'_Static_assert'{args};",
         "file_": "(?>{top})*",
+        "begin": ";*(?:$|{prim}|{qual}|'struct'|'union'|'enum'|'_Static_assert'|i(?:$|{qual}|[(m0sc'sizeof']|i(?:$|[=:,;]|(?:[dr]i)*(?:$|[dr]$|[([u]))))",
     },
     {"(": ["args", "pexpr", "params", "pdtor", "ptype", "forh"], "[": ["index"], "{": ["block", "sbody", "ebody", "linit"]},
     dict.fromkeys(("block", "args", "pexpr", "linit", "index", "forh"), "primary_>E"),

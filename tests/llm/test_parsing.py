@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from loamdex.llm import parsing as P
@@ -54,6 +57,38 @@ def test_causes():
     assert P.judge("x = (", "python") == (True, "corrupt", None)
 
 
+def test_every_file_is_given_to_all_grammars(spark, monkeypatch):
+    asked = []
+    with monkeypatch.context() as m:
+        m.setattr(P, "parses", lambda text, lang: asked.append(lang) or lang == "python")
+        assert P.judge("x = 1", "python") == (False, None, None) and asked == list(P.LANGUAGES)
+        assert P.judge("x", "json") == (True, "corrupt", None) and asked == list(P.LANGUAGES) * 2
+    assert P.grammars("let x = () => 1;") == ["typescript", "javascript"] and P.grammars("x y z (") == []
+    assert P.grammars("/* nothing */") == ["java", "typescript", "javascript", "rust", "c"]
+    files = spark.createDataFrame([("s", "s/a.js", 1.0, 1, "javascript"), ("s", "s/b.json", 1.0, 1, "json")], "service_id string, path string, mtime double, size bigint, lang string")
+    lines = spark.createDataFrame([("s", "s/a.js", 1, "let x = () => 1;"), ("s", "s/b.json", 1, "[1]")], "service_id string, path string, line int, content string")
+    rows = {r["path"]: (r["invalid"], r["accepted"]) for r in P.parsed(files, lines).collect()}
+    assert rows == {"s/a.js": (False, ["typescript", "javascript"]), "s/b.json": (False, ["python", "typescript", "javascript", "json"])}
+
+
+def test_what_a_file_begins_with_changes_no_result(monkeypatch):
+    r = random.Random(1)
+    texts = [t for v in (VALID, INVALID) for ts in v.values() for t in ts] + ["package a\n;", "import a.b.*;", "@A class B { }", "package", "import static a", "int x;\nf(a);", "f(a) ;", "a::b! { }", "#![a]\nfn f() { }", "@A b c", "@a b\nclass C { }", "union A { }"]
+    for t in list(texts):
+        cuts = sorted(r.randrange(min(len(t), 120) + 1) for _ in range(6))
+        texts += [t[:k] for k in cuts] + [t[k:] for k in cuts] + [t[:k] + r.choice([";", "@", "<a>", " x ", "#", "!", "("]) + t[k:] for k in cuts]
+    found = {(lang, t): g.parses(t) for lang, g in GRAMMARS.items() for t in texts}
+    monkeypatch.setattr(type(GRAMMARS["java"]), "begins", lambda self, code: "\x00" not in code)
+    assert [k for k, ok in found.items() if GRAMMARS[k[0]].parses(k[1]) != ok] == [] and sum(found.values()) > 50
+
+
+def test_open_quotes_and_comments_take_no_time():
+    began = time.process_time()
+    assert P.grammars("x = b'" + "\\x0e\\x53" * 40) == [] and P.grammars("/* " * 20_000) == []
+    assert not P.parses("/* a/*.b */" + "/* c */" * 60, "rust") and P.parses("/* a /* b */ c */ /* d */", "rust")
+    assert time.process_time() - began < 20
+
+
 @pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, "x\\u00e9"], "b": {}}', "[]", " 3 ", '"x"', "[[], {}]"])
 def test_json_by_stack(text):
     assert P._deep_json(text)
